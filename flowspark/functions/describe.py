@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from flowspark import domains as D
 from flowspark.functions import flow_classes as C
-from flowspark.functions.text import fill, format_bytes, format_rate, format_value, integer, lookup, number
+from flowspark.functions.text import format_bytes, format_rate, format_value, integer, lookup, number
 
 FLOAT_TYPES = (T.DoubleType, T.FloatType, T.DecimalType)
 
@@ -90,8 +90,7 @@ def flow_classes(df: DataFrame) -> DataFrame:
 
 
 def _joined_texts(codes: Column, wording: dict[str, str], separator: str, lead: str = "") -> Column:
-    worded = F.transform(codes, lambda code: F.concat(F.lit(lead), lookup(wording, code)))
-    return F.array_join(worded, separator)
+    return F.concat_ws(separator, *[F.when(F.array_contains(codes, code), lead + text) for code, text in wording.items()])
 
 
 def _common_lines() -> list[Column]:

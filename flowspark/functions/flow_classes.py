@@ -6,6 +6,8 @@ wording and the formatted number.  All are plain expressions and stay inside cod
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,6 +105,12 @@ def shape_text(code: Column, ratio: Column) -> Column:
     return _worded(code, D.SHAPE_TEXT, shown)
 
 
+def present(texts: Iterable[Column]) -> Column:
+    """Array of the distinct texts that are not null.  Unlike ``array_compact`` this has no lambda
+    and keeps the projection inside whole-stage codegen."""
+    return F.array_except(F.array(*texts), F.array(F.lit(None).cast("string")))
+
+
 def flag_patterns(syn: Column, ack: Column, fin: Column, rst: Column, psh: Column, urg: Column) -> Column:
     """Codes of all matching flag patterns, in fixed order."""
     tests = (
@@ -113,7 +121,7 @@ def flag_patterns(syn: Column, ack: Column, fin: Column, rst: Column, psh: Colum
         (urg > 0) & (psh > 0) & (fin > 0),
         (syn > 0) & (ack > 0) & (psh > 0),
     )
-    return F.array_compact(F.array(*[F.when(test, code) for code, test in zip(FLAG_CODES, tests)]))
+    return present(F.when(test, code) for code, test in zip(FLAG_CODES, tests))
 
 
 def signatures(
@@ -142,7 +150,7 @@ def signatures(
         "unknown_protocol": unsw & (service == 0) & ~proto_known & (duration < 0.001),
         "ftp_probe": unsw & (service == 2) & (bwd_pkts == 0),
     }
-    return F.array_compact(F.array(*[F.when(test, code) for code, test in tests.items()]))
+    return present(F.when(test, code) for code, test in tests.items())
 
 
 def protocol_name(number_col: Column) -> Column:

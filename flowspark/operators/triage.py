@@ -13,14 +13,9 @@ RESULT_COLUMNS = (
     "record_description", "retrieved_context_titles", "rag_distances", "elapsed_seconds", "model_name",
     "ground_truth", "raw_llm_response", "validation_errors", "stage1_decision", "stage_skipped",
 )
-
-
-def _no_texts() -> Column:
-    return F.array().cast("array<string>")
-
-
-def _no_numbers() -> Column:
-    return F.array().cast("array<double>")
+ANSWER_COLUMNS = (
+    "attack_type", "severity", "confidence", "mitre_techniques", "explanation", "recommendations", "validation_errors",
+)
 
 
 def confident_benign(threshold: float = 0.95) -> Column:
@@ -28,79 +23,69 @@ def confident_benign(threshold: float = 0.95) -> Column:
     return F.coalesce((F.col("rf_label") == "Benign") & (F.col("rf_confidence") >= threshold), F.lit(False))
 
 
-def _skip(source: str, confidence: Column) -> dict[str, Column]:
-    return {
-        "attack_type": F.lit("Benign"), "severity": F.lit("informational"), "confidence": confidence,
-        "mitre_techniques": _no_texts(), "explanation": F.lit(D.SKIP_TEXT[source]), "recommendations": _no_texts(),
-        "retrieved_context_titles": _no_texts(), "rag_distances": _no_numbers(), "raw_llm_response": F.lit(""),
-        "validation_errors": _no_texts(), "stage_skipped": F.lit(source),
-    }
-
-
-def _failed(message: Column, raw: Column) -> dict[str, Column]:
-    return {
-        "attack_type": F.lit(D.UNKNOWN), "severity": F.lit("informational"), "confidence": F.lit(0.0),
-        "mitre_techniques": _no_texts(), "explanation": F.concat(F.lit(D.ERROR_TEXT_PREFIX), message),
-        "recommendations": _no_texts(), "retrieved_context_titles": F.col("context_titles"),
-        "rag_distances": F.col("context_distances"), "raw_llm_response": raw,
-        "validation_errors": F.array(message), "stage_skipped": F.lit(None).cast("string"),
-    }
+def with_route(df: DataFrame, use_rf: bool | Column = True, two_stage: bool | Column = True,
+               threshold: float = 0.95) -> DataFrame:
+    """Add ``stage1`` and ``route``: rf, stage1 or open, the first one that applies.
 
-
-def split_skipped(df: DataFrame, use_rf: bool, threshold: float = 0.95) -> tuple[DataFrame | None, DataFrame]:
-    """(records the forest settles, records that go on).  A real split, so that the expensive
-    joins and Python stages downstream never see a settled record."""
-    if not use_rf:
-        return None, df
-    settled = confident_benign(threshold)
-    return df.filter(settled), df.filter(~settled)
-
-
-def _finish(df: DataFrame, values: dict[str, Column], stage1: Column) -> DataFrame:
-    carried = {
-        "record_description": F.col("description"), "ground_truth": F.col("label"),
-        "elapsed_seconds": F.round(F.col("elapsed_seconds"), 2), "model_name": F.col("model_name"),
-        "stage1_decision": stage1,
-    }
-    every = {**values, **carried}
-    return df.select("record_key", *[every[c].alias(c) for c in RESULT_COLUMNS])
+    The switches may be columns, so that one job serves many configurations.
+    """
+    rf_on, stage_on = [s if isinstance(s, Column) else F.lit(s) for s in (use_rf, two_stage)]
+    settled = rf_on & confident_benign(threshold)
+    stage1 = F.when(stage_on & ~settled, stage1_decision(F.col("stage1_response")))
+    return df.withColumn("stage1", stage1).withColumn(
+        "route", F.when(settled, "rf").when(F.col("stage1") == "BENIGN", "stage1").otherwise("open"))
 
 
-def outcomes(df: DataFrame, use_rf: bool = True, two_stage: bool = True, threshold: float = 0.95) -> DataFrame:
-    """One 16-field result per record.
+def outcomes(df: DataFrame, use_rf: bool | Column = True, two_stage: bool | Column = True, threshold: float = 0.95,
+             keep: tuple[str, ...] = ()) -> DataFrame:
+    """One 16-field result per record, in a single projection.
 
-    Input columns: record_key, description, label, elapsed_seconds, model_name, rf_label and
-    rf_confidence (with ``use_rf``), stage1_response (with ``two_stage``; null means the call
-    failed), response, response_error, context_titles, context_distances.
+    Input columns: record_key, description, label, elapsed_seconds, model_name, rf_label,
+    rf_confidence, stage1_response (null: the call failed), response, response_error,
+    context_titles, context_distances.
 
-    Priority: forest skip, stage-1 skip, model error, unparseable answer, normal answer.
+    Priority: forest skip, stage-1 skip, model error, unparseable answer, normal answer.  Only
+    answers of open records are parsed.
     """
-    none = F.lit(None).cast("string")
-    settled, rest = split_skipped(df, use_rf, threshold)
-    results = []
-    if settled is not None:
-        results.append(_finish(settled, _skip("rf_prefilter", F.col("rf_confidence")), none))
-    stage1 = none
-    if two_stage:
-        rest = rest.withColumn("_stage1", stage1_decision(F.col("stage1_response")))
-        stage1 = F.col("_stage1")
-        results.append(_finish(rest.filter(stage1 == "BENIGN"), _skip("stage1_benign", F.lit(0.75)), stage1))
-        rest = rest.filter(stage1 != "BENIGN")
-    broken = F.col("response_error").isNotNull()
-    failed = rest.filter(broken)
-    message = F.concat(F.lit(D.ERROR_MODEL_PREFIX), F.col("response_error"))
-    results.append(_finish(failed, _failed(message, F.lit("")), stage1))
-    answered = rest.filter(~broken).withColumn("_json", extract_json(F.col("response")))
-    answered = normalise_response(answered.withColumn("fields", response_fields(F.col("_json"))))
-    bad = F.col("_json").isNull()
-    invalid = _failed(F.lit(D.ERROR_NOT_JSON), F.coalesce("response", F.lit("")))
-    normal = {c: F.col(f"normalised.{c}") for c in (
-        "attack_type", "severity", "confidence", "mitre_techniques", "explanation", "recommendations", "validation_errors")}
-    normal.update({"retrieved_context_titles": F.col("context_titles"), "rag_distances": F.col("context_distances"),
-                   "raw_llm_response": F.col("response"), "stage_skipped": none})
-    merged = {c: F.when(bad, invalid[c]).otherwise(normal[c]) for c in invalid}
-    results.append(_finish(answered, merged, stage1))
-    union = results[0]
-    for part in results[1:]:
-        union = union.unionByName(part)
-    return union
+    routed = with_route(df, use_rf, two_stage, threshold)
+    answered = (F.col("route") == "open") & F.col("response_error").isNull()
+    parsed = routed.withColumn("_json", extract_json(F.when(answered, F.col("response"))))
+    parsed = normalise_response(parsed.withColumn("fields", response_fields(F.col("_json"))))
+    state = (
+        F.when(F.col("route") != "open", F.col("route"))
+        .when(F.col("response_error").isNotNull(), "error")
+        .when(F.col("_json").isNull(), "unparsed")
+        .otherwise("answer")
+    )
+    staged = parsed.withColumn("_state", state)
+    failure = F.when(F.col("_state") == "error", F.concat(F.lit(D.ERROR_MODEL_PREFIX), F.col("response_error"))).otherwise(
+        D.ERROR_NOT_JSON)
+    skipped = F.col("_state").isin("rf", "stage1")
+    no_texts, no_numbers = F.array().cast("array<string>"), F.array().cast("array<double>")
+    skip_values = {
+        "attack_type": F.lit("Benign"), "severity": F.lit("informational"),
+        "confidence": F.when(F.col("_state") == "rf", F.col("rf_confidence")).otherwise(0.75),
+        "mitre_techniques": no_texts, "recommendations": no_texts, "validation_errors": no_texts,
+        "explanation": F.when(F.col("_state") == "rf", D.SKIP_TEXT["rf_prefilter"]).otherwise(D.SKIP_TEXT["stage1_benign"]),
+    }
+    failed_values = {
+        "attack_type": F.lit(D.UNKNOWN), "severity": F.lit("informational"), "confidence": F.lit(0.0),
+        "mitre_techniques": no_texts, "recommendations": no_texts, "validation_errors": F.array(failure),
+        "explanation": F.concat(F.lit(D.ERROR_TEXT_PREFIX), failure),
+    }
+    values = {
+        c: F.when(skipped, skip_values[c]).when(F.col("_state") == "answer", F.col(f"normalised.{c}")).otherwise(failed_values[c])
+        for c in ANSWER_COLUMNS
+    }
+    values.update({
+        "record_description": F.col("description"),
+        "retrieved_context_titles": F.when(skipped, no_texts).otherwise(F.col("context_titles")),
+        "rag_distances": F.when(skipped, no_numbers).otherwise(F.col("context_distances")),
+        "elapsed_seconds": F.round("elapsed_seconds", 2),
+        "model_name": F.col("model_name"),
+        "ground_truth": F.col("label"),
+        "raw_llm_response": F.when(F.col("_state").isin("answer", "unparsed"), F.coalesce("response", F.lit(""))).otherwise(""),
+        "stage1_decision": F.col("stage1"),
+        "stage_skipped": F.when(F.col("_state") == "rf", "rf_prefilter").when(F.col("_state") == "stage1", "stage1_benign"),
+    })
+    return staged.select("record_key", *keep, *[values[c].alias(c) for c in RESULT_COLUMNS])
