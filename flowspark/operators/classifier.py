@@ -11,6 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowspark import domains as D
 from flowspark.functions.labels import threat_target
@@ -136,7 +137,7 @@ def train_dataset(df: DataFrame, key: str, label: str = "label", sample_size: in
     split.unpersist()
     schema = metrics.schema
     for column in constants:
-        schema = schema.add(column, "bigint")
+        schema = schema.add(column, T.LongType())
     return model, df.sparkSession.createDataFrame([tuple(row[c] for c in schema.names)], schema)
 
 

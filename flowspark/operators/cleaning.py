@@ -68,21 +68,22 @@ def exact_medians(df: DataFrame, columns: list[str], window_rows: int = 1_000_00
     """
     if not columns:
         return {}
-    values = {c: _comparable(df, c) for c in columns}
-    totals = df.agg(*[F.count(values[c]).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    narrow = comparable(df, columns)
+    values = dict(zip(columns, [F.col(x) for x in narrow.columns]))
+    totals = narrow.agg(*[F.count(v) for v in values.values()]).first()
     state = {
         c: {"n": totals[i], "low": None, "high": None, "below": 0, "inside": totals[i], "slack": 3.0 / accuracy}
         for i, c in enumerate(columns) if totals[i] > 0
     }
     open_columns = [c for c in state if state[c]["inside"] > window_rows]
     while open_columns:
-        bounds = df.agg(*[
+        bounds = narrow.agg(*[
             F.percentile_approx(F.when(_within(values[c], state[c]), values[c]),
                                 F.array(*[F.lit(p) for p in _rank_bracket(state[c])]), accuracy).alias(f"q{i}")
             for i, c in enumerate(open_columns)
         ]).first()
         trial = {c: {**state[c], "low": bounds[i][0], "high": bounds[i][1]} for i, c in enumerate(open_columns)}
-        counted = df.agg(*[
+        counted = narrow.agg(*[
             part for i, c in enumerate(open_columns) for part in (
                 F.count_if(values[c] < trial[c]["low"]).alias(f"b{i}"),
                 F.count_if(_within(values[c], trial[c])).alias(f"i{i}"))
@@ -102,12 +103,20 @@ def exact_medians(df: DataFrame, columns: list[str], window_rows: int = 1_000_00
         open_columns = still_open
     found: dict[str, float | None] = {c: None for c in columns}
     found.update({c: s["low"] for c, s in state.items() if s["low"] is not None and s["low"] == s["high"]})
-    ranked = [c for c in state if found[c] is None]
+    ranked = {f"x{i}": c for i, c in enumerate(columns) if c in state and found[c] is None}
     if ranked:
-        found.update(_ranked_medians(df, {c: values[c] for c in ranked}, state))
+        found.update(_ranked_medians(narrow, ranked, state))
     return found
 
 
+def comparable(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns alone, as finite doubles or null, named x0, x1, ...
+
+    Later aggregates use every value many times; this projection computes it once per row.
+    """
+    return df.select(*[_comparable(df, c).alias(f"x{i}") for i, c in enumerate(columns)])
+
+
 def _comparable(df: DataFrame, column: str) -> Column:
     value = name(column).cast("double")
     return F.when(~non_finite(value), value) if is_fractional(df, column) else value
@@ -127,22 +136,23 @@ def _rank_bracket(s: dict) -> tuple[float, float]:
     return max(0.0, start - s["slack"]), min(1.0, end + s["slack"])
 
 
-def _ranked_medians(df: DataFrame, values: dict[str, Column], state: dict[str, dict]) -> dict[str, float]:
-    columns = list(values)
-    inside = F.array_compact(F.array(*[
-        F.when(_within(v, state[c]), F.struct(F.lit(i).alias("i"), v.alias("v"))) for i, (c, v) in enumerate(values.items())
-    ]))
-    counted = (
-        df.select(F.explode(inside).alias("x")).groupBy("x.i", "x.v").agg(F.count("*").alias("m"))
-    )
+def _ranked_medians(narrow: DataFrame, ranked: dict[str, str], state: dict[str, dict]) -> dict[str, float]:
+    """Rank the values inside the brackets, all columns in one job."""
+    def any_of(tests: list[Column]) -> Column:
+        return reduce(lambda a, b: a | b, tests)
+
+    long = narrow.unpivot([], list(ranked), "i", "v").filter(any_of([
+        (F.col("i") == x) & _within(F.col("v"), state[c]) for x, c in ranked.items()]))
+    counted = long.groupBy("i", "v").agg(F.count("*").alias("m"))
     upto = F.sum("m").over(Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    wanted = counted.withColumn("upto", upto)
-    hits = reduce(lambda a, b: a | b, [
-        (F.col("i") == i) & (F.col("upto") >= rank - state[c]["below"]) & (F.col("upto") - F.col("m") < rank - state[c]["below"])
-        for i, c in enumerate(columns) for rank in set(_middle_ranks(state[c]["n"]))
-    ])
-    rows = wanted.filter(hits).groupBy("i").agg(((F.min("v") + F.max("v")) / 2).alias("median")).collect()
-    return {columns[r["i"]]: r["median"] for r in rows}
+    hit = any_of([
+        (F.col("i") == x) & (F.col("upto") >= rank - state[c]["below"]) & (F.col("upto") - F.col("m") < rank - state[c]["below"])
+        for x, c in ranked.items() for rank in set(_middle_ranks(state[c]["n"]))])
+    rows = (
+        counted.withColumn("upto", upto).filter(hit).groupBy("i")
+        .agg(((F.min("v") + F.max("v")) / 2).alias("median")).collect()
+    )
+    return {ranked[r["i"]]: r["median"] for r in rows}
 
 
 def impute(df: DataFrame, fill_values: dict[str, float | None]) -> DataFrame:
@@ -265,9 +275,9 @@ def unify(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def column_ranges(df: DataFrame, columns: list[str]) -> dict[str, dict[str, float]]:
     """Minimum and maximum of every column, in one pass, as scaling parameters."""
-    row = df.agg(*[part for i, c in enumerate(columns) for part in (
-        F.min(_comparable(df, c)).alias(f"a{i}"), F.max(_comparable(df, c)).alias(f"z{i}"))]).first()
-    return {c: {"min": row[f"a{i}"], "max": row[f"z{i}"]} for i, c in enumerate(columns)}
+    narrow = comparable(df, columns)
+    row = narrow.agg(*[f(x) for x in narrow.columns for f in (F.min, F.max)]).first()
+    return {c: {"min": row[2 * i], "max": row[2 * i + 1]} for i, c in enumerate(columns)}
 
 
 def scale(df: DataFrame, ranges: dict[str, dict[str, float]]) -> DataFrame:
@@ -300,6 +310,6 @@ def quality_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def range_table(df: DataFrame, columns: list[str]) -> DataFrame:
     """Scaling parameters as a table (column, min, max), computed in one pass."""
-    parts = [F.struct(F.lit(c).alias("column_name"), F.min(_comparable(df, c)).alias("min_value"),
-                      F.max(_comparable(df, c)).alias("max_value")) for c in columns]
-    return df.agg(F.array(*parts).alias("all")).select(F.inline("all"))
+    parts = [F.struct(F.lit(c).alias("column_name"), F.min(f"x{i}").alias("min_value"), F.max(f"x{i}").alias("max_value"))
+             for i, c in enumerate(columns)]
+    return comparable(df, columns).agg(F.array(*parts).alias("all")).select(F.inline("all"))

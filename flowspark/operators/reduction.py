@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.operators.cleaning import _comparable, drop_columns, name, numeric_columns
+from flowspark.operators.cleaning import comparable, drop_columns, name, numeric_columns
 
-JVM_PAIRS = 200  # above this many pairs one aggregate would hold too many buffers
+JVM_PAIRS = 30  # above this many pairs the generated aggregate grows too large to compile well
 
 
 def constant_columns(df: DataFrame, columns: list[str] | None = None) -> list[str]:
@@ -19,10 +19,8 @@ def constant_columns(df: DataFrame, columns: list[str] | None = None) -> list[st
     columns = numeric_columns(df) if columns is None else columns
     if not columns:
         return []
-    row = df.agg(*[
-        F.coalesce(F.min(_comparable(df, c)) == F.max(_comparable(df, c)), F.lit(True)).alias(f"c{i}")
-        for i, c in enumerate(columns)
-    ]).first()
+    narrow = comparable(df, columns)
+    row = narrow.agg(*[F.coalesce(F.min(x) == F.max(x), F.lit(True)) for x in narrow.columns]).first()
     return [c for i, c in enumerate(columns) if row[i]]
 
 
@@ -32,26 +30,26 @@ def remove_constant(df: DataFrame) -> DataFrame:
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson r of every column pair (earlier, later), over rows where both are present."""
+    narrow = comparable(df, columns)
     pairs = list(combinations(range(len(columns)), 2))
     if len(pairs) <= JVM_PAIRS:
         found = [F.struct(F.lit(columns[i]).alias("col_a"), F.lit(columns[j]).alias("col_b"),
                           F.lit(i).alias("pos_a"), F.lit(j).alias("pos_b"),
-                          F.corr(_comparable(df, columns[i]), _comparable(df, columns[j])).alias("r"))
+                          F.corr(f"x{i}", f"x{j}").alias("r"))
                  for i, j in pairs]
-        return df.agg(F.array(*found).alias("all")).select(F.inline("all"))
-    return _block_correlations(df, columns)
+        return narrow.agg(F.array(*found).alias("all")).select(F.inline("all"))
+    return _block_correlations(narrow, columns)
 
 
-def _block_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+def _block_correlations(narrow: DataFrame, columns: list[str]) -> DataFrame:
     """Wide tables: each task folds its rows into pair moments with matrix products.
 
     Only one small row per pair and task is shuffled.  Values are shifted by the column means
     first, which keeps the sums well conditioned.
     """
-    means = df.agg(*[F.avg(_comparable(df, c)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    shift = [m or 0.0 for m in means]
+    means = narrow.agg(*[F.avg(x) for x in narrow.columns]).first()
     width = len(columns)
-    values = df.select(*[(_comparable(df, c) - F.lit(s)).alias(f"x{i}") for i, (c, s) in enumerate(zip(columns, shift))])
+    values = narrow.select(*[(F.col(x) - F.lit(m or 0.0)).alias(x) for x, m in zip(narrow.columns, means)])
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np

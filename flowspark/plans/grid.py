@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowspark import domains as D
+from flowspark.operators.bounded import small_side
 from flowspark.operators.evaluation import expand_grid, metrics, ranking
 from flowspark.operators.sampling import stratified_sample
 from flowspark.operators.triage import outcomes
@@ -18,14 +19,15 @@ def evaluate(records: DataFrame, sizes: tuple[int, ...], seeds: tuple[int, ...],
     """Metrics of every (config, n, seed).
 
     ``records`` carries everything ``outcomes`` reads; the flags of a configuration decide which
-    of it counts.
+    of it counts.  Sampling looks at keys and labels only; the wide records are read once.
     """
+    keys = records.select(key, "label")
     samples = [
-        stratified_sample(records, n, key, seed=seed).withColumns({"n": F.lit(n), "seed": F.lit(seed)})
+        stratified_sample(keys, n, key, seed=seed).select(key, F.lit(n).alias("n"), F.lit(seed).alias("seed"))
         for n in sizes for seed in seeds
     ]
-    sample = reduce(lambda a, b: a.unionByName(b), samples)
-    grid = expand_grid(sample, configs)
+    chosen = small_side(reduce(lambda a, b: a.unionByName(b), samples))
+    grid = expand_grid(records.join(chosen, key), configs)
     results = outcomes(grid, F.col("use_rf"), F.col("two_stage"), keep=("config", "n", "seed"))
     return metrics(results, by=("config", "n", "seed")).withColumnRenamed("avg_elapsed_seconds", "avg_elapsed")
 

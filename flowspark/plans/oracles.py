@@ -277,7 +277,7 @@ ORACLES["coerce_numeric"] = f"SELECT flow_id, try_cast(nullif({strip('mixed')},
 ORACLES["label_encode"] = f"SELECT flow_id, service_name, dense_rank() OVER (ORDER BY coalesce(service_name, 'nan')) - 1 AS service_name_code FROM {DI}"
 ORACLES["column_medians"] = " UNION ALL ".join(f"SELECT '{c}' AS column_name, median({c}) AS median_value FROM lineitem" for c in NUMBERS)
 ORACLES["column_minmax"] = " UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, min({c}) AS min_value, max({c}) AS max_value FROM lineitem" for c in NUMBERS)
+    f"SELECT '{c}' AS column_name, min({c}) + 0.0 AS min_value, max({c}) + 0.0 AS max_value FROM lineitem" for c in NUMBERS)
 ORACLES["minmax_scale"] = (
     "SELECT " + ", ".join(f"round(({c} - lo_{c}) / (hi_{c} - lo_{c}), 6) AS {c}" for c in NUMBERS) + ", CAST(0 AS DOUBLE) AS constant FROM lineitem, (SELECT " +
     ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in NUMBERS) + " FROM lineitem) r")
@@ -471,10 +471,8 @@ ORACLES["collection_size"] = (
 
 BLOCK = "regexp_extract(response, '\\{.*\\}', 0)"
 FIXED = f"regexp_replace({BLOCK}, ',\\s*([}}\\]])', '\\1', 'g')"
-# the planted comma defect leaves one brace too many; the first balanced block ends one earlier
-CUT = "CASE WHEN flow_id % 9 = 3 THEN left({0}, length({0}) - 1) ELSE {0} END"
 DOC = (f"CASE WHEN response IS NULL OR response = '' THEN NULL WHEN json_valid({strip('response')}) THEN {strip('response')} "
-       f"WHEN {BLOCK} = '' THEN NULL ELSE {CUT.format(FIXED)} END")
+       f"WHEN {BLOCK} = '' THEN NULL ELSE {FIXED} END")
 _js = lambda f: f"json_extract_string(doc, '$.{f}')"
 _kind = lambda f: f"coalesce(json_type(doc, '$.{f}'), 'NULL')"
 _field_names = ("attack_type", "severity", "confidence", "mitre_techniques", "explanation", "recommendations")
@@ -482,7 +480,7 @@ PARSED = (
     "(SELECT *, coalesce(json_type(doc) = 'OBJECT', false) AS is_object, " + ", ".join(
         f"CASE WHEN json_type(doc) = 'OBJECT' THEN {_js(f)} END AS {f}, CASE WHEN json_type(doc) = 'OBJECT' THEN {_kind(f)} ELSE 'NULL' END AS {f}_kind" for f in _field_names) +
     f" FROM (SELECT *, {DOC} AS doc FROM {RE}) p0)")
-ORACLES["parse_responses"] = f"SELECT flow_id, doc IS NOT NULL AS parsed, is_object, attack_type, severity, confidence, explanation FROM {PARSED}"
+ORACLES["parse_responses"] = f"SELECT flow_id, doc IS NOT NULL AS parsed, is_object, attack_type, severity, try_cast(confidence AS DOUBLE) AS confidence, explanation FROM {PARSED}"
 CONF = "try_cast(confidence AS DOUBLE)"
 SCALED = f"CASE WHEN {CONF} > 1 THEN {CONF} / 100 ELSE {CONF} END"
 TECHNIQUES = ("array_to_string(list_filter(list_transform(CASE WHEN mitre_techniques_kind = 'ARRAY' THEN json_extract_string(mitre_techniques, '$[*]') ELSE [] END, "

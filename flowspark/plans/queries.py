@@ -28,7 +28,7 @@ from flowspark.operators import summaries as A
 from flowspark.operators.triage import confident_benign, outcomes, with_route
 from flowspark.plans import grid, knowledge_build, preprocess, training, triage_run
 from flowspark.plans.views import dirty, flows, labelled, responses, runs, table, wide_flows
-from flowspark.session import shared_folder
+from flowspark.session import shared_folder, written
 from flowspark.sources import knowledge as K
 from flowspark.sources import tables as T
 from flowspark.sources import vectors as U
@@ -232,7 +232,8 @@ def column_medians(spark, folder):
 
 @query
 def column_minmax(spark, folder):
-    return P.range_table(table(spark, folder, "lineitem"), NUMBERS)
+    ranges = P.range_table(table(spark, folder, "lineitem"), NUMBERS)
+    return ranges.withColumns({c: F.col(c) + 0.0 for c in ("min_value", "max_value")})  # -0.0 and 0.0 are one value
 
 
 @query
@@ -639,7 +640,8 @@ def _parsed(spark, folder) -> DataFrame:
 
 @query
 def parse_responses(spark, folder):
-    fields = [F.col(f"fields.{f}").alias(f) for f in ("attack_type", "severity", "confidence", "explanation")]
+    fields = [F.col(f"fields.{f}").alias(f) for f in ("attack_type", "severity", "explanation")]
+    fields.append(F.col("fields.confidence").try_cast("double").alias("confidence"))
     return _parsed(spark, folder).select(
         "flow_id", F.col("json").isNotNull().alias("parsed"), F.col("fields.is_object").alias("is_object"), *fields)
 
@@ -939,7 +941,7 @@ def preprocess_unified(spark, folder):
     cic = wide.filter(F.col("dataset_source") == D.CIC).select(F.col("raw_label").alias("Label"), *[F.col(f"`{c}`") for c in D.CIC_FLOW_COLUMNS])
     unsw = wide.filter(F.col("dataset_source") == D.UNSW).select(
         F.col("raw_label").alias("attack_cat"), F.col("raw_binary").alias("label"), *D.UNSW_FLOW_COLUMNS)
-    folders = preprocess.run(cic, unsw, shared_folder(spark))
+    folders = preprocess.run(written(cic), written(unsw), shared_folder(spark))
     scaled = spark.read.parquet(folders["unified"])
     features = P.numeric_columns(scaled)
     low = reduce(lambda a, b: F.least(a, b), [F.min(f"`{c}`") for c in features])

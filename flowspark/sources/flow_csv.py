@@ -14,11 +14,10 @@ from flowspark.sources.tables import union_all
 def files_by_encoding(spark: SparkSession, pattern: str) -> dict[str, list[str]]:
     """File names per encoding: UTF-8 where the whole file is valid UTF-8, else Latin-1.
 
-    Validity is decided per line in distributed reads of the raw bytes, never per file in one task.
+    Validity is decided line by line (the text source does not decode), never per file in one task.
     """
-    lines = spark.read.option("encoding", "ISO-8859-1").option("lineSep", "\n").text(pattern)
-    raw = F.encode(F.col("value"), "ISO-8859-1")
-    flags = lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.bool_and(F.is_valid_utf8(raw)).alias("ok"))
+    lines = spark.read.text(pattern)
+    flags = lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.bool_and(F.is_valid_utf8("value")).alias("ok"))
     found: dict[str, list[str]] = {"UTF-8": [], "ISO-8859-1": []}
     for row in flags.orderBy("file").collect():
         found["UTF-8" if row["ok"] else "ISO-8859-1"].append(row["file"])
