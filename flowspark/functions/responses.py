@@ -49,9 +49,10 @@ def repaired(text: str | None) -> str | None:
         candidates += [block, TRAILING_COMMA.sub(r"\1", block)]
     for candidate in candidates:
         try:
-            return json.dumps(json.loads(candidate), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+            value = json.loads(candidate)
         except ValueError:
             continue
+        return None if value is None else json.dumps(value, ensure_ascii=False)
     return None
 
 
@@ -60,31 +61,33 @@ def _repair(texts: pd.Series) -> pd.Series:
     return texts.map(repaired, na_action="ignore")
 
 
-def extract_json(response: Column) -> Column:
-    """JSON text found in a response, or null.
-
-    A response that starts with an object and parses is handled by the JVM; only the others
-    are handed to the Python helper (the rest reach it as nulls).
-    """
-    trimmed = strip(response)
-    direct = F.when(trimmed.startswith("{"), F.to_json(F.try_parse_json(trimmed)))
-    return F.coalesce(direct, _repair(F.when(direct.isNull(), response)))
+FIELDS = ("attack_type", "severity", "confidence", "mitre_techniques", "explanation", "recommendations")
 
 
-def _kind(document: Column, field: str) -> Column:
-    return F.coalesce(F.schema_of_variant(F.try_variant_get(document, f"$.{field}", "variant")), F.lit("VOID"))
+def parse(df: DataFrame, response: str = "response", output: str = "fields") -> DataFrame:
+    """Add a struct with every expected field of a response as text, its JSON kind and its absence.
 
-
-def response_fields(document: Column) -> Column:
-    """Struct with every expected field as text and its JSON kind.  ``document`` is JSON text."""
-    parsed = F.try_parse_json(document)
-    fields = ["attack_type", "severity", "confidence", "mitre_techniques", "explanation", "recommendations"]
-    parts = [F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False)).alias("is_object")]
-    for field in fields:
-        parts.append(F.try_variant_get(parsed, f"$.{field}", "string").alias(field))
-        parts.append(_kind(parsed, field).alias(f"{field}_kind"))
-        parts.append(F.try_variant_get(parsed, f"$.{field}", "variant").isNull().alias(f"{field}_absent"))
-    return F.struct(*parts)
+    A response that starts with an object and parses is handled by the JVM; only the others are
+    handed to the Python helper (the rest reach it as nulls).  Each document is parsed once, into
+    a variant that all fields are then read from.
+    """
+    trimmed = strip(F.col(response))
+    staged = df.withColumn("_direct", F.when(trimmed.startswith("{"), F.try_parse_json(trimmed)))
+    staged = staged.withColumn("_repaired", _repair(F.when(F.col("_direct").isNull(), F.col(response))))
+    staged = staged.withColumn("_doc", F.coalesce("_direct", F.try_parse_json("_repaired")))
+    document = F.col("_doc")
+    parts = [
+        document.isNotNull().alias("parsed"),
+        F.coalesce(F.schema_of_variant(document).startswith("OBJECT"), F.lit(False)).alias("is_object"),
+    ]
+    for field in FIELDS:
+        value = F.try_variant_get(document, f"$.{field}", "variant")
+        parts += [
+            F.try_variant_get(document, f"$.{field}", "string").alias(field),
+            F.coalesce(F.schema_of_variant(value), F.lit("VOID")).alias(f"{field}_kind"),
+            value.isNull().alias(f"{field}_absent"),
+        ]
+    return staged.withColumn(output, F.struct(*parts)).drop("_direct", "_repaired", "_doc")
 
 
 def _text_list(fields: str, name: str) -> Column:
@@ -136,7 +139,7 @@ def _choice_error(name: str, key: str, value: Column, allowed: tuple[str, ...],
 
 
 def validation_errors(fields: str = "fields") -> Column:
-    """Ordered error list of an unnormalised response (struct from ``response_fields``)."""
+    """Ordered error list of an unnormalised response (struct from ``parse``)."""
     f = {n: F.col(f"{fields}.{n}") for n in ("attack_type", "severity", "confidence", "explanation")}
     kind = {n: F.col(f"{fields}.{n}_kind") for n in
             ("confidence", "mitre_techniques", "explanation", "recommendations")}

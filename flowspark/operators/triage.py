@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowspark import domains as D
-from flowspark.functions.responses import extract_json, normalise_response, response_fields, stage1_decision
+from flowspark.functions.responses import normalise_response, parse, stage1_decision
 
 RESULT_COLUMNS = (
     "attack_type", "severity", "confidence", "mitre_techniques", "explanation", "recommendations",
@@ -49,12 +49,11 @@ def outcomes(df: DataFrame, use_rf: bool | Column = True, two_stage: bool | Colu
     """
     routed = with_route(df, use_rf, two_stage, threshold)
     answered = (F.col("route") == "open") & F.col("response_error").isNull()
-    parsed = routed.withColumn("_json", extract_json(F.when(answered, F.col("response"))))
-    parsed = normalise_response(parsed.withColumn("fields", response_fields(F.col("_json"))))
+    parsed = normalise_response(parse(routed.withColumn("_asked", F.when(answered, F.col("response"))), "_asked"))
     state = (
         F.when(F.col("route") != "open", F.col("route"))
         .when(F.col("response_error").isNotNull(), "error")
-        .when(F.col("_json").isNull(), "unparsed")
+        .when(~F.col("fields.parsed"), "unparsed")
         .otherwise("answer")
     )
     staged = parsed.withColumn("_state", state)

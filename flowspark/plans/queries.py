@@ -7,7 +7,7 @@ with any other engine by value.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +28,7 @@ from flowspark.operators import summaries as A
 from flowspark.operators.triage import confident_benign, outcomes, with_route
 from flowspark.plans import grid, knowledge_build, preprocess, training, triage_run
 from flowspark.plans.views import dirty, flows, labelled, responses, runs, table, wide_flows
-from flowspark.session import shared_folder, written
+from flowspark.session import shared_folder, use_settings, written
 from flowspark.sources import knowledge as K
 from flowspark.sources import tables as T
 from flowspark.sources import vectors as U
@@ -41,8 +41,12 @@ NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
-    return function
+    @wraps(function)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return function(use_settings(spark), folder)
+
+    QUERIES[function.__name__] = run
+    return run
 
 
 def joined(col: Column | str) -> Column:
@@ -634,8 +638,7 @@ def retrieval_suite(spark, folder):
 # ---------------------------------------------------------------- responses and outcomes
 
 def _parsed(spark, folder) -> DataFrame:
-    df = responses(spark, folder).withColumn("json", R.extract_json(F.col("response")))
-    return df.withColumn("fields", R.response_fields(F.col("json")))
+    return R.parse(responses(spark, folder))
 
 
 @query
@@ -643,7 +646,7 @@ def parse_responses(spark, folder):
     fields = [F.col(f"fields.{f}").alias(f) for f in ("attack_type", "severity", "explanation")]
     fields.append(F.col("fields.confidence").try_cast("double").alias("confidence"))
     return _parsed(spark, folder).select(
-        "flow_id", F.col("json").isNotNull().alias("parsed"), F.col("fields.is_object").alias("is_object"), *fields)
+        "flow_id", "fields.parsed", "fields.is_object", *fields)
 
 
 @query
@@ -729,8 +732,8 @@ def triage_outcome(spark, folder):
 @query
 def triage_flow(spark, folder):
     """The whole triage chain: describe, score, retrieve, gate, pack, answer, settle."""
-    df = wide_flows(labelled(flows(spark, folder)))
-    records = triage_run.described(df.join(labelled(flows(spark, folder)).select("flow_id", "label"), "flow_id"), models=_forests(spark, folder))
+    df = wide_flows(labelled(flows(spark, folder)), keep=("label", *FOREST_FEATURES))
+    records = triage_run.described(df, models=_forests(spark, folder))
     notes = K.class_notes(spark)
     model, collection, _ = knowledge_build.build(notes, shared_folder(spark), dimension=128)
     embed = lambda queries: V.apply_embedder(model, queries)

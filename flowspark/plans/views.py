@@ -134,11 +134,11 @@ UNSW_FROM = {
 }
 
 
-def wide_flows(df: DataFrame) -> DataFrame:
+def wide_flows(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """The flow view under the column names of both datasets; the other dataset's columns are null."""
     cic = F.col("dataset_source") == D.CIC
     return df.select(
-        "flow_id", "dataset_source", "raw_label", "raw_binary",
+        "flow_id", "dataset_source", "raw_label", "raw_binary", *keep,
         *[F.when(cic, F.col(own)).alias(name) for name, own in CIC_FROM.items()],
         *[F.when(~cic, F.col(own)).alias(name) for name, own in UNSW_FROM.items()])
 

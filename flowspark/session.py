@@ -8,8 +8,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Description and outcome expressions are wide.  As one fused method they outgrow what the JIT
+# compiles (8,000 bytes of bytecode) and run interpreted; below this limit Spark splits them.
+SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
+def use_settings(spark: SparkSession) -> SparkSession:
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "flowspark") -> SparkSession:
-    return (
+    return use_settings(
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
