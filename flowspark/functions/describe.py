@@ -18,9 +18,13 @@ FLOAT_TYPES = (T.DoubleType, T.FloatType, T.DecimalType)
 
 
 def ensure_columns(df: DataFrame, names: tuple[str, ...] | list[str]) -> DataFrame:
-    """Add absent columns as nulls, so that later expressions read them as 0."""
-    present = set(df.columns)
-    return df.withColumns({name: F.lit(None).cast("double") for name in names if name not in present})
+    """Add absent columns as nulls, so that later expressions read them as 0.
+
+    Names are compared as the resolver does: other spellings of a name count as present.
+    """
+    present = {c.lower() for c in df.columns}
+    absent = {n: F.lit(None).cast("double") for n in names if n.lower() not in present}
+    return df.withColumns(absent) if absent else df
 
 
 def cic_duration(raw: Column, unit: str = "auto") -> Column:
@@ -201,6 +205,8 @@ def generic_text(df: DataFrame, columns: list[str] | None = None, most: int = 15
 def describe(df: DataFrame, output: str = "description", unit: str = "auto", keep_measures: bool = False) -> DataFrame:
     """Add the description of every flow, by dataset."""
     original = df.columns
+    if "dataset_source" not in original:
+        return df.withColumn(output, generic_text(df))
     generic = generic_text(df)
     staged = flow_classes(flow_measures(df, unit))
     text = (
