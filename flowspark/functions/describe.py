@@ -202,12 +202,14 @@ def generic_text(df: DataFrame, columns: list[str] | None = None, most: int = 15
     return F.concat(F.lit(D.GENERIC_LEAD + ": "), F.array_join(kept, ", "), F.lit("."))
 
 
-def describe(df: DataFrame, output: str = "description", unit: str = "auto", keep_measures: bool = False) -> DataFrame:
-    """Add the description of every flow, by dataset."""
+def describe(df: DataFrame, output: str = "description", unit: str = "auto", keep_measures: bool = False,
+             generic_columns: list[str] | None = None) -> DataFrame:
+    """Add the description of every flow, by dataset.  ``generic_columns`` limits what the text
+    of flows from other datasets lists."""
     original = df.columns
+    generic = generic_text(df, generic_columns)
     if "dataset_source" not in original:
-        return df.withColumn(output, generic_text(df))
-    generic = generic_text(df)
+        return df.withColumn(output, generic)
     staged = flow_classes(flow_measures(df, unit))
     text = (
         F.when(F.col("dataset_source") == D.CIC, _cic_text())

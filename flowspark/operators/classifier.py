@@ -17,6 +17,7 @@ from flowspark import domains as D
 from flowspark.functions.labels import threat_target
 from flowspark.operators.cleaning import name, numeric_columns
 from flowspark.operators.sampling import sample_n, train_test_split
+from flowspark.session import written
 
 
 def safe_features(df: DataFrame, columns: Iterable[str]) -> DataFrame:
@@ -124,7 +125,7 @@ def train_dataset(df: DataFrame, key: str, label: str = "label", sample_size: in
     if not features:
         raise ValueError("no numeric feature to train on")
     split = train_test_split(df.withColumn("_class", threat_target(F.col(label))), key, "_class", test_fraction, seed)
-    split = split.drop("_class").persist()
+    split = written(split.drop("_class"))  # training passes over it many times
     model = train_forest(split.filter(~F.col("is_test")), features, label, seed=seed, **forest)
     metrics = holdout_metrics(score(split.filter("is_test"), model), label)
     sizes = split.agg(
@@ -134,7 +135,6 @@ def train_dataset(df: DataFrame, key: str, label: str = "label", sample_size: in
     constants = {**sizes.asDict(), "feature_count": len(features),
                  "n_estimators": forest.get("trees", 100), "max_depth": forest.get("depth", 20)}
     row = {**metrics.first().asDict(), **constants}
-    split.unpersist()
     schema = metrics.schema
     for column in constants:
         schema = schema.add(column, T.LongType())

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowspark import domains as D
+from flowspark.operators.bounded import small_side
+from flowspark.session import written
 
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 16_384
 
 
 def zip_embeddings(documents: DataFrame, embeddings: DataFrame, key: str = "id") -> DataFrame:
@@ -41,15 +43,16 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "quer
 
     Both sides are hashed into blocks of about ``block_rows`` rows.  Each pair of blocks is one
     group: one matrix product that emits only the k best of each query.  No row pair is ever
-    materialised, no side has to fit anywhere whole, and the hashing leaves no hot group.  The
-    block count follows the row counts, which Parquet answers from metadata.
+    materialised, no side has to fit anywhere whole, and the hashing leaves no hot group.  A side
+    is copied once per block of the other side, so up to ``block_rows`` queries cost no copy of
+    the corpus at all; larger blocks trade task memory for less shuffling.
     """
     query_blocks = max(1, math.ceil(queries.count() / block_rows))
     corpus_blocks = max(1, math.ceil(corpus.count() / block_rows))
 
     def spread(df: DataFrame, key: str, value: str, own: str, own_blocks: int, other: str, other_blocks: int) -> DataFrame:
         return df.select(
-            F.col(key).alias("_id"), F.col(value).cast("array<double>").alias("_v"),
+            F.col(key).alias("_id"), F.col(value).alias("_v"),
             F.pmod(F.xxhash64(key), F.lit(own_blocks)).cast("int").alias(own),
             F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))).alias(other),
         )
@@ -76,13 +79,13 @@ def _block_nearest(q: pd.DataFrame, c: pd.DataFrame, k: int, query_id: str, corp
         return pd.DataFrame({query_id: q["_id"][:0], corpus_id: c["_id"][:0], "distance": []})
     c = c.sort_values("_id", kind="stable")
     ids = c["_id"].to_numpy()
-    b = np.stack(c["_v"].to_numpy())
+    b = np.stack(c["_v"].to_numpy()).astype(float)
     b = b / _lengths(b)
     parts = []
     step = max(1, 4_000_000 // max(1, len(ids)))
     for start in range(0, len(q), step):
         chunk = q.iloc[start:start + step]
-        a = np.stack(chunk["_v"].to_numpy())
+        a = np.stack(chunk["_v"].to_numpy()).astype(float)
         a = a / _lengths(a)
         # rounding makes equal vectors equal, so that ties fall back to the id order
         distance = np.round(np.maximum(0.0, 1.0 - a @ b.T), 12)
@@ -137,6 +140,7 @@ def retrieve(queries: DataFrame, corpus: DataFrame, top_k: int = 5, scorer: Pair
     dense = nearest(queries, with_source(corpus, source), pool if scorer else top_k, query_id, corpus_id)
     if scorer is None:
         return dense.withColumns({"dense_distance": F.col("distance"), "score": F.lit(None).cast("double")})
+    dense = written(dense)  # the scorer reads the pool several times
     scored = scorer(dense)
     hits = F.count("*").over(Window.partitionBy(query_id))
     rescored = scored.withColumn("_hits", hits).select(
@@ -156,18 +160,19 @@ def bm25_scorer(queries: DataFrame, corpus: DataFrame, query_id: str = "query_id
                 query_text: str = "query_text", text: str = "text", k1: float = 1.2, b: float = 0.75) -> PairScorer:
     """Lexical pair scorer over whole texts.
 
-    Term counts of the pool's documents are joined on (document, term), a key without hot spots;
-    document frequencies are counted over the whole corpus and joined only for query terms.
+    Words that no query asks for are dropped before anything is shuffled.  Term counts are joined
+    on (document, term), a key without hot spots; document frequencies cover the whole corpus.
     """
 
     def score(pool: DataFrame) -> DataFrame:
         query_terms = queries.select(query_id, F.explode(F.array_distinct(words(F.col(query_text)))).alias("term"))
-        counted = corpus.select(corpus_id, F.explode(words(F.col(text))).alias("term")).groupBy(corpus_id, "term").agg(
-            F.count("*").alias("tf"))
-        lengths = corpus.select(corpus_id, F.size(words(F.col(text))).alias("length"))
-        size = lengths.agg(F.count("*").alias("docs"), F.avg("length").alias("mean_length")).first()
-        used = query_terms.select("term").distinct()
-        frequency = counted.join(used, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+        used = small_side(query_terms.select("term").distinct())
+        occurrences = corpus.select(corpus_id, F.explode(words(F.col(text))).alias("term")).join(used, "term", "left_semi")
+        counted = occurrences.groupBy(corpus_id, "term").agg(F.count("*").alias("tf"))
+        frequency = counted.groupBy("term").agg(F.count("*").alias("df"))
+        every_length = corpus.select(corpus_id, F.size(words(F.col(text))).alias("length"))
+        size = every_length.agg(F.count("*").alias("docs"), F.avg("length").alias("mean_length")).first()
+        lengths = every_length.join(small_side(pool.select(corpus_id).distinct()), corpus_id, "left_semi")
         pairs = pool.select(query_id, corpus_id).join(query_terms, query_id)
         idf = F.log(1.0 + (F.lit(size["docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         norm = k1 * (1 - b + b * F.col("length") / F.lit(size["mean_length"]))

@@ -66,9 +66,14 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int = D.DEFAULT_SEED) -> Dat
     return _picked(flag_first(df, lambda rows: F.lit(n), key, seed=seed))
 
 
-def stratified_sample(df: DataFrame, n: int, key: str, label: str = "label", seed: int = D.DEFAULT_SEED) -> DataFrame:
-    """At most max(1, n // classes) rows of each class."""
-    classes = df.agg(F.count_distinct(label)).first()[0]
+def count_classes(df: DataFrame, label: str = "label") -> int:
+    return df.agg(F.count_distinct(label)).first()[0]
+
+
+def stratified_sample(df: DataFrame, n: int, key: str, label: str = "label", seed: int = D.DEFAULT_SEED,
+                      classes: int | None = None) -> DataFrame:
+    """At most max(1, n // classes) rows of each class; classes are counted unless given."""
+    classes = count_classes(df, label) if classes is None else classes
     per_class = max(1, n // max(1, classes))
     return _picked(flag_first(df, lambda rows: F.lit(per_class), key, seed=seed, strata=(label,)))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from flowspark import domains as D
 from flowspark.operators.bounded import small_side
 from flowspark.operators.evaluation import expand_grid, metrics, ranking
-from flowspark.operators.sampling import stratified_sample
+from flowspark.operators.sampling import count_classes, stratified_sample
 from flowspark.operators.triage import outcomes
 
 
@@ -22,8 +22,9 @@ def evaluate(records: DataFrame, sizes: tuple[int, ...], seeds: tuple[int, ...],
     of it counts.  Sampling looks at keys and labels only; the wide records are read once.
     """
     keys = records.select(key, "label")
+    classes = count_classes(keys)
     samples = [
-        stratified_sample(keys, n, key, seed=seed).select(key, F.lit(n).alias("n"), F.lit(seed).alias("seed"))
+        stratified_sample(keys, n, key, seed=seed, classes=classes).select(key, F.lit(n).alias("n"), F.lit(seed).alias("seed"))
         for n in sizes for seed in seeds
     ]
     chosen = small_side(reduce(lambda a, b: a.unionByName(b), samples))

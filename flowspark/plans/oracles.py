@@ -608,9 +608,9 @@ def difference(first: str, second: str) -> str:
             f"FROM {side(first)} a FULL JOIN {side(second)} b ON a.flow_id = b.flow_id")
 
 
-ORACLES["run_diff"] = difference("config = '1_baseline_norag' AND flow_id % 50 <> 0", "config = '5_rag_rerank_rf' AND flow_id % 70 <> 0")
+ORACLES["run_diff"] = difference("config = '1_baseline_norag'", "config = '5_rag_rerank_rf'")
 ORACLES["run_outcome_matrix"] = (
-    f"SELECT outcome, attack_type_a, attack_type_b, count(*) AS n FROM ({difference(chr(99) + 'onfig = ' + text('1_baseline_norag'), 'config = ' + text('6_rag_rerank_rf_2stage'))}) d GROUP BY ALL")
+    f"SELECT outcome, attack_type_a, attack_type_b, count(*) AS n FROM ({difference('config = ' + text('1_baseline_norag'), 'config = ' + text('6_rag_rerank_rf_2stage'))}) d GROUP BY ALL")
 ORACLES["batch_progress"] = (
     "SELECT run, record_key, i AS ordinal, round(100.0 * i / n, 4) AS pct, round(s, 4) AS elapsed_total, round(s / i, 4) AS avg_elapsed, round(s / i * (n - i), 4) AS remaining FROM ("
     "SELECT config AS run, record_key, count(*) OVER w AS i, sum(elapsed_seconds) OVER w AS s, count(*) OVER (PARTITION BY config) AS n "

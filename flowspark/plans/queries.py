@@ -781,9 +781,8 @@ def config_ranking(spark, folder):
 @query
 def run_diff(spark, folder):
     made = _runs(spark, folder)
-    first = made.filter((F.col("config") == "1_baseline_norag") & (F.col("flow_id") % 50 != 0))
-    second = made.filter((F.col("config") == "5_rag_rerank_rf") & (F.col("flow_id") % 70 != 0))
-    return E.run_differences(first, second)
+    return E.run_differences(
+        made.filter(F.col("config") == "1_baseline_norag"), made.filter(F.col("config") == "5_rag_rerank_rf"))
 
 
 @query

@@ -19,12 +19,11 @@ Embedder = Callable[[DataFrame], DataFrame]
 
 def described(flows: DataFrame, key: str = "flow_id", models: dict | None = None) -> DataFrame:
     """Flows with their description and, with models, the forest's verdict; written once."""
-    df = describe(flows)
     if models is None:
-        df = df.withColumns({"rf_label": F.lit(None).cast("string"), "rf_confidence": F.lit(None).cast("double")})
+        df = flows.withColumns({"rf_label": F.lit(None).cast("string"), "rf_confidence": F.lit(None).cast("double")})
     else:
-        df = score_by_source(df, models).drop("rf_benign")
-    return written(df.withColumn("record_key", F.col(key)))
+        df = score_by_source(flows, models).drop("rf_benign")
+    return written(describe(df, generic_columns=flows.columns).withColumn("record_key", F.col(key)))
 
 
 def contexts(records: DataFrame, corpus: DataFrame, embed: Embedder, top_k: int = 5, scorer: PairScorer | None = None,

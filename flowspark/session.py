@@ -38,7 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
     The setting is the cluster's; only where it is unset (a local session) is a temporary
     folder used instead.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")

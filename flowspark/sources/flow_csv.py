@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,25 +13,31 @@ from flowspark.operators.cleaning import drop_columns, name
 from flowspark.sources.tables import union_all
 
 
-def files_by_encoding(spark: SparkSession, pattern: str) -> dict[str, list[str]]:
-    """File names per encoding: UTF-8 where the whole file is valid UTF-8, else Latin-1.
+def inspect_files(spark: SparkSession, pattern: str) -> list[tuple[str, str, str]]:
+    """(file, encoding, first line) of every matching file, found in one distributed scan.
 
-    Validity is decided line by line (the text source does not decode), never per file in one task.
+    A file is UTF-8 if all its lines are (the text source does not decode), else Latin-1.  Lines
+    of a split keep their order, so the first line is the first one of the first split.
     """
-    lines = spark.read.text(pattern)
-    flags = lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.bool_and(F.is_valid_utf8("value")).alias("ok"))
-    found: dict[str, list[str]] = {"UTF-8": [], "ISO-8859-1": []}
-    for row in flags.orderBy("file").collect():
-        found["UTF-8" if row["ok"] else "ISO-8859-1"].append(row["file"])
-    return found
-
-
-def headers(spark: SparkSession, files: list[str], encoding: str) -> dict[tuple[str, ...], list[str]]:
-    """Files grouped by their header line; files of one header are read together."""
-    grouped: dict[tuple[str, ...], list[str]] = {}
-    for file in files:
-        columns = spark.read.option("header", True).option("encoding", encoding).csv(file).columns
-        grouped.setdefault(tuple(columns), []).append(file)
+    lines = spark.read.text(pattern).select(
+        F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("line"),
+        (F.col("_metadata.file_block_start") == 0).alias("leading"))
+    found = lines.groupBy("file").agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
+        F.min_by(F.col("value").cast("binary"), F.when(F.col("leading"), F.col("line"))).alias("first"))
+    result = []
+    for row in found.orderBy("file").collect():
+        encoding = "UTF-8" if row["utf8"] else "ISO-8859-1"
+        result.append((row["file"], encoding, bytes(row["first"]).decode(encoding)))
+    return result
+
+
+def header_groups(spark: SparkSession, pattern: str) -> dict[tuple[str, tuple[str, ...]], list[str]]:
+    """Files by (encoding, column names); files of one group are read together."""
+    grouped: dict[tuple[str, tuple[str, ...]], list[str]] = {}
+    for file, encoding, first in inspect_files(spark, pattern):
+        columns = tuple(next(csv.reader([first.lstrip("\ufeff").rstrip("\r")])))
+        grouped.setdefault((encoding, columns), []).append(file)
     return grouped
 
 
@@ -45,10 +53,9 @@ UNSW_TEXT = {"srcip", "sport", "dstip", "dsport", "proto", "service", "state", "
 def read_cic(spark: SparkSession, pattern: str) -> DataFrame:
     """All day files of the first dataset: header names trimmed, files with other headers unioned by name."""
     parts = []
-    for encoding, files in files_by_encoding(spark, pattern).items():
-        for columns, group in headers(spark, files, encoding).items():
-            reader = spark.read.option("header", True).option("encoding", encoding).schema(numeric_schema(columns, CIC_TEXT))
-            parts.append(reader.csv(group).toDF(*[c.strip() for c in columns]))
+    for (encoding, columns), files in header_groups(spark, pattern).items():
+        reader = spark.read.option("header", True).option("encoding", encoding).schema(numeric_schema(columns, CIC_TEXT))
+        parts.append(reader.csv(files).toDF(*[c.strip() for c in columns]))
     if not parts:
         raise FileNotFoundError(f"no CSV file matches {pattern}")
     return union_all(parts)
@@ -75,7 +82,7 @@ def read_unsw_numbered(spark: SparkSession, pattern: str, features: str | None =
     """Header-less files; names come from the ``Name`` column of the features file when the counts agree."""
     df = spark.read.option("header", False).csv(pattern)
     if features is not None:
-        encoding = "UTF-8" if files_by_encoding(spark, features)["UTF-8"] else "ISO-8859-1"
+        encoding = inspect_files(spark, features)[0][1]
         listed = spark.read.option("header", True).option("encoding", encoding).csv(features)
         names = [r["Name"].strip() for r in listed.select("Name").collect()]
         if len(names) == len(df.columns):

@@ -34,10 +34,16 @@ def plain(value):
     return str(value)
 
 
+def kind(values) -> str:
+    kinds = {type(v).__name__ for v in values if v is not None}
+    return "/".join(sorted(kinds))
+
+
 def compare(spark, con, folder: str, name: str) -> tuple[str, int, str]:
     df = entry.queries()[name](spark, folder)
     columns = sorted(df.columns)
-    got = sorted(tuple(plain(r[c]) for c in columns) for r in df.collect())
+    rows = df.collect()
+    got = sorted(tuple(plain(r[c]) for c in columns) for r in rows)
     sql = entry.oracle_sql().get(name)
     if sql is None:
         return "rows", len(got), ""
@@ -46,9 +52,12 @@ def compare(spark, con, folder: str, name: str) -> tuple[str, int, str]:
     if sorted(names) != columns:
         return "COLUMNS", len(got), f"{columns} vs {sorted(names)}"
     order = [names.index(c) for c in columns]
-    want = sorted(tuple(plain(row[i]) for i in order) for row in result.fetchall())
+    fetched = result.fetchall()
+    want = sorted(tuple(plain(row[i]) for i in order) for row in fetched)
     if got == want:
-        return "ok", len(got), ""
+        types = [(c, kind(r[c] for r in rows), kind(row[i] for row in fetched)) for c, i in zip(columns, order)]
+        other = [t for t in types if t[1] != t[2]]
+        return ("TYPES" if other else "ok"), len(got), str(other) if other else ""
     only_got = [r for r in got if r not in set(want)][:2]
     only_want = [r for r in want if r not in set(got)][:2]
     return "DIFF", len(got), f"{len(got)} vs {len(want)} rows\n   spark {only_got}\n   sql   {only_want}"
