@@ -44,7 +44,7 @@ def byte_rate_class(rate: Column, total_bytes: Column | None = None, duration: C
     return _rate_class(rate, _sustained(total_bytes, 10_000, duration), (10_000_000, 1_000_000, 10_000, 100))
 
 
-def _worded(code: Column, wording: dict[str, str], value: Column) -> Column:
+def worded(code: Column, wording: dict[str, str], value: Column) -> Column:
     branches = None
     for name, template in wording.items():
         text = fill(template, value) if "{}" in template else F.lit(template)
@@ -53,11 +53,11 @@ def _worded(code: Column, wording: dict[str, str], value: Column) -> Column:
 
 
 def packet_rate_text(code: Column, rate: Column) -> Column:
-    return _worded(code, D.PACKET_RATE_TEXT, format_rate(rate))
+    return worded(code, D.PACKET_RATE_TEXT, format_rate(rate))
 
 
 def byte_rate_text(code: Column, rate: Column) -> Column:
-    return _worded(code, D.BYTE_RATE_TEXT, format_rate(rate))
+    return worded(code, D.BYTE_RATE_TEXT, format_rate(rate))
 
 
 def duration_class(seconds: Column) -> Column:
@@ -72,7 +72,7 @@ def duration_class(seconds: Column) -> Column:
 
 
 def duration_text(code: Column, seconds: Column) -> Column:
-    return _worded(code, D.DURATION_TEXT, format_time(seconds))
+    return worded(code, D.DURATION_TEXT, format_time(seconds))
 
 
 def byte_ratio(fwd_bytes: Column, bwd_bytes: Column) -> Column:
@@ -96,13 +96,17 @@ def flow_shape(fwd_pkts: Column, bwd_pkts: Column, fwd_bytes: Column, bwd_bytes:
     )
 
 
-def shape_text(code: Column, ratio: Column) -> Column:
-    shown = (
+def ratio_text(code: Column, ratio: Column) -> Column:
+    """The ratio as the wording of a shape shows it."""
+    return (
         F.when(code.isin("EXFILTRAÇÃO", "UPLOAD"), fixed(ratio, 0))
         .when(code.isin("DOWNLOAD", "DOWNLOAD-HEAVY"), fixed(F.try_divide(F.lit(1.0), ratio), 0))
         .otherwise(fixed(ratio, 2))
     )
-    return _worded(code, D.SHAPE_TEXT, shown)
+
+
+def shape_text(code: Column, ratio: Column) -> Column:
+    return worded(code, D.SHAPE_TEXT, ratio_text(code, ratio))
 
 
 def present(texts: Iterable[Column]) -> Column:

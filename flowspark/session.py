@@ -27,6 +27,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "flo
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # records the call site of every expression
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
