@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.llm import quality
+from flowspark.llm import ngram_join, quality
 from flowspark.llm.common import table
 
 
@@ -16,4 +16,8 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"op8_quality_rules": op8_quality_rules}
+def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.joined(table(spark, folder, "documents").select("doc_id", "text"), ngram_join.Rule(3, 90, 100))
+
+
+QUERIES = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op8_quality_rules": op8_quality_rules}
