@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.llm import ngram_join, quality
+from flowspark.llm import ngram_join, quality, repeats
 from flowspark.llm.common import table
 
 
+def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.cleaned(table(spark, folder, "documents").select("doc_id", "text")).drop("removed")
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return quality.judged(docs, table(spark, folder, "labels"), text=False).select(
@@ -20,4 +24,8 @@ def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.joined(table(spark, folder, "documents").select("doc_id", "text"), ngram_join.Rule(3, 90, 100))
 
 
-QUERIES = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op8_quality_rules": op8_quality_rules}
+QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op5_suffix_dedup": op5_suffix_dedup,
+    "op8_quality_rules": op8_quality_rules,
+}
