@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.llm import ngram_join, quality, repeats
+from flowspark.llm import bpe, ngram_join, quality, repeats, token_fst
 from flowspark.llm.common import table
 
 
+def op3_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encoded(table(spark, folder, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.cleaned(table(spark, folder, "documents").select("doc_id", "text")).drop("removed")
 
 
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_fst.counted(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return quality.judged(docs, table(spark, folder, "labels"), text=False).select(
@@ -26,6 +35,8 @@ def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op3_bpe_round_trip": op3_bpe_round_trip,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op7_token_counts": op7_token_counts,
     "op8_quality_rules": op8_quality_rules,
 }
