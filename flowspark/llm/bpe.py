@@ -15,10 +15,12 @@ caller.  The vocabulary file is a parameter, read on each worker by its path.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 _NONE = np.int64(1) << 40
-# fixed values: Unicode white space of the vocabulary's own pattern
-_SPACE = regex.compile("[\t-\r \x85\xa0  -     　]+")
 
 
 def _byte_letters() -> list[str]:
@@ -76,7 +76,9 @@ class Vocabulary:
             self.rank[x, y] = z
         order = np.argsort(keys)
         self.pair_keys, self.pair_made = np.array(keys)[order], np.array(made)[order]
-        self.longest = max(map(len, text.values()))
+        self.reach: dict[str, int] = {}
+        for piece in self.mid:
+            self.reach[piece[:2]] = max(len(piece), self.reach.get(piece[:2], 1))
         whole = np.arange(n)
         inner = self.left != whole
         self.sound = np.ones(n, dtype=bool)
@@ -115,21 +117,40 @@ class Vocabulary:
         return fine
 
     def greedy(self, word: str) -> list[int]:
+        """Longest match from the left; no token that begins with two letters is longer than their reach."""
         out, at, n = [], 0, len(word)
+        end, mid, reach = self.end, self.mid, self.reach
         while at < n:
-            for stop in range(min(n, at + self.longest), at, -1):
-                token = (self.end if stop == n else self.mid).get(word[at:stop])
-                if token is not None:
-                    out.append(token)
-                    at = stop
-                    break
+            token = end.get(word[at:])
+            if token is not None:
+                out.append(token)
+                break
+            stop = min(n - 1, at + reach.get(word[at : at + 2], 1))
+            while stop > at + 1 and (token := mid.get(word[at:stop])) is None:
+                stop -= 1
+            out.append(mid[word[at]] if token is None else token)
+            at = max(stop, at + 1)
         return out
 
     def merged(self, word: str) -> list[int]:
-        """Exact merging: the earliest merge first, the leftmost of equals; works on linked symbols and a heap."""
-        import heapq
-
+        """Exact merging: the earliest merge first, the leftmost of equals."""
         symbols = [self.mid[c] for c in word[:-1]] + [self.end[word[-1]]]
+        return self._scanned(symbols) if len(symbols) <= 48 else self._queued(symbols)
+
+    def _scanned(self, symbols: list[int]) -> list[int]:
+        rank, no = self.rank.get, len(self.names)
+        ranks = [rank(p, no) for p in zip(symbols, symbols[1:], strict=False)]
+        while ranks and (made := min(ranks)) < no:
+            i = ranks.index(made)
+            symbols[i : i + 2] = [made]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((symbols[i - 1], made), no)
+            if i < len(ranks):
+                ranks[i] = rank((made, symbols[i + 1]), no)
+        return symbols
+
+    def _queued(self, symbols: list[int]) -> list[int]:
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(self.rank[p], i) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)) if p in self.rank]
@@ -148,30 +169,31 @@ class Vocabulary:
                     heapq.heappush(heap, (self.rank[symbols[x], symbols[y]], x))
         return [s for s in symbols if s >= 0]
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Speculate, verify, and merge exactly where the proof fails."""
+    def encode_words(self, words: list[str]) -> tuple[list[int], np.ndarray]:
+        """Token counts and all tokens: speculate, verify, and merge exactly where the proof fails."""
         found = [self.greedy(w) for w in words]
-        sizes = np.array([len(f) for f in found])
-        flat = np.array([t for f in found for t in f], dtype=np.int64)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))
         owner = np.repeat(np.arange(len(words)), sizes)
         same = owner[1:] == owner[:-1]
-        pairs, back = np.unique(flat[:-1][same] << np.int64(32) | flat[1:][same], return_inverse=True)
-        fits = self.compatible(pairs >> np.int64(32), pairs & np.int64(0xFFFFFFFF))[back]
-        failed = np.union1d(owner[1:][same][~fits], owner[~self.sound[flat]])
-        for i in failed.tolist():
+        fits = self.compatible(flat[:-1][same], flat[1:][same])
+        for i in np.union1d(owner[1:][same][~fits], owner[~self.sound[flat]]).tolist():
             found[i] = self.merged(words[i])
-        return found
+        return [len(f) for f in found], np.fromiter(chain.from_iterable(found), np.int64)
+
+    def pieces(self, text: str) -> list[str]:
+        """Normalised words of a text in order; a special string is marked by a leading space.
 
-    def pieces(self, text: str) -> Iterator[tuple[str, bool]]:
-        """Normalised words of a text, and special strings, in order."""
+        White space is left as it is: words hold none, so what it is replaced by makes no difference.
+        """
+        out: list[str] = []
         for k, part in enumerate(self.specials.split(text) if self.specials else [text]):
             if k % 2:
-                yield part, True
+                out.append(" " + part)
             elif part:
                 # lower case letter by letter, without rules for the end of words
-                plain = _SPACE.sub(" ", unicodedata.normalize("NFC", part)).replace("Σ", "σ").lower()
-                for word in self.words.findall(plain):
-                    yield word, False
+                out += self.words.findall(unicodedata.normalize("NFC", part).replace("\u03a3", "\u03c3").lower())
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -184,28 +206,30 @@ class Encoder:
 
     def __init__(self, path: str):
         self.vocab = vocabulary(path)
-        self.ids: dict[tuple[str, bool], bytes] = {}
-        self.shown: dict[tuple[str, bool], str] = {}
+        self.ids: dict[str, bytes] = {}
 
-    def learn(self, pieces: set[tuple[str, bool]]) -> None:
-        new = [p for p in pieces if p not in self.ids]
-        if len(self.ids) + len(new) > CACHE_WORDS:
+    def learn(self, pieces: set[str]) -> None:
+        if len(self.ids) > CACHE_WORDS:
             self.ids.clear()
-            self.shown.clear()
-            new = list(pieces)
-        words = [w.encode().decode("latin-1").translate(self.vocab.table) for w, special in new if not special]
-        found = iter(self.vocab.encode_words(words) if words else [])
+        new = [p for p in pieces if p not in self.ids]
+        words = [p for p in new if p[0] != " "]
+        if words:
+            sizes, flat = self.vocab.encode_words([w.encode().decode("latin-1").translate(self.vocab.table) for w in words])
+            packed, at = flat.astype("<u4").tobytes(), 0
+            for word, size in zip(words, sizes, strict=True):
+                self.ids[word] = packed[at : at + 4 * size]
+                at += 4 * size
         for p in new:
-            ids = [self.vocab.special[p[0]]] if p[1] else next(found)
-            self.ids[p] = np.array(ids, "<u4").tobytes()
-            self.shown[p] = " ".join([self.vocab.names[i] for i in ids])
+            if p[0] == " ":
+                self.ids[p] = np.array([self.vocab.special[p[1:]]], "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
         """Packed ids and decoded text of each; the vocabulary has no decoder, so tokens are joined by spaces."""
-        for text in texts:
-            pieces = list(self.vocab.pieces(text or ""))
-            self.learn(set(pieces))
-            yield b"".join([self.ids[p] for p in pieces]), " ".join([self.shown[p] for p in pieces])
+        pieces = [self.vocab.pieces(text or "") for text in texts]
+        self.learn(set().union(*pieces))
+        for own in pieces:
+            ids = b"".join([self.ids[p] for p in own])
+            yield ids, " ".join([self.vocab.names[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
 def _task(path: str, real: bool) -> Callable:

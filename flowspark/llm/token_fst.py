@@ -30,7 +30,8 @@ from flowspark.llm.common import longs, slices
 
 SPACE = "▁"
 CHUNK = 256
-MAX_CELLS = 1 << 24
+MAX_CELLS = 1 << 26
+_NEVER = 1 << 30
 _START = -1  # a token that joins with nothing after it
 _STAY, _RESET, _UNKNOWN = 0, 1, 2  # symbols; unknown characters of 1 to 4 bytes follow from _UNKNOWN on
 _FIRST = _UNKNOWN + 4
@@ -43,15 +44,17 @@ class Transducer:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         plain = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         self.piece = {model.id_to_piece(i): i for i in plain}
-        self.score = {i: model.get_score(i) for i in plain}
+        order = sorted({model.get_score(i) for i in plain}, reverse=True)
+        place = {score: k for k, score in enumerate(order)}
+        self.rank = {p: place[model.get_score(i)] for p, i in self.piece.items()}
         self.text = {i: p for p, i in self.piece.items()}
         if any(SPACE in p.lstrip(SPACE) for p in self.piece):
             raise ValueError("pieces must not span words")
         if any(c not in self.piece for p in self.piece for c in p):
             raise ValueError("each character of a piece must be a piece")
         self.begun = {p[:k] for p in self.piece for k in range(1, len(p))}
-        self.sound: dict[int, bool] = {}
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.past: dict[int, tuple[bool, list, list, list]] = {}
+        self.apart: dict[int, bool] = {}
         self.reset_tables()
 
     def reset_tables(self) -> None:
@@ -59,8 +62,7 @@ class Transducer:
         self.column_of = np.full(0x110000, -1, dtype=np.int32)
         self.states: dict[tuple, int] = {}
         self.live: list[tuple] = []
-        self.next = np.full((1024, 128), -1, dtype=np.int32)
-        self.change = np.zeros((1024, 128), dtype=np.int8)
+        self.next = np.full((1024, 128), -1, dtype=np.int32)  # state << 5 | change + 16
         self.start = self.state((("", _START, 0),))
 
     def state(self, live: tuple) -> int:
@@ -69,32 +71,55 @@ class Transducer:
             self.live.append(live)
             if s >= len(self.next):
                 self.next = np.concatenate([self.next, np.full_like(self.next, -1)])
-                self.change = np.concatenate([self.change, np.zeros_like(self.change)])
-            self.next[s, _STAY], self.change[s, _STAY] = s, 0
-            self.next[s, _RESET] = 0
-            for size in range(1, 5):
-                self.next[s, _UNKNOWN + size - 1], self.change[s, _UNKNOWN + size - 1] = 0, size
+            self.next[s, _STAY] = s << 5 | 16
+            self.next[s, _RESET : _FIRST] = np.arange(5) + 16
         return self.states[live]
 
-    def merged(self, text: str) -> list[int]:
-        """Exact merging of a short text: best score first, leftmost of equals."""
-        symbols = list(text)
-        while True:
-            best = max(((self.score[i], -k) for k, i in ((k, self.piece.get(a + b)) for k, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False))) if i is not None), default=None)
-            if best is None:
-                return [self.piece[s] for s in symbols]
-            k = -best[1]
-            symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+    def history(self, token: int) -> tuple[bool, list, list, list]:
+        """Exact merging of a token's characters, best score first and leftmost of equals: does it give the token,
+        the ranks of its merges, and the symbols at its left and right edge before each merge and at the end."""
+        if token not in self.past:
+            symbols = list(self.text[token])
+            ranks, lefts, rights = [], [symbols[0]], [symbols[-1]]
+            while True:
+                found = [self.rank.get(a + b, _NEVER) for a, b in zip(symbols, symbols[1:], strict=False)]
+                if not found or (best := min(found)) == _NEVER:
+                    break
+                k = found.index(best)
+                symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+                ranks.append(best)
+                lefts.append(symbols[0])
+                rights.append(symbols[-1])
+            self.past[token] = (len(symbols) == 1, [*ranks, _NEVER], lefts, rights)
+        return self.past[token]
 
     def ends(self, before: int, token: int) -> bool:
-        """Whether ``token`` follows ``before`` in an encoding: both stay apart when merged together."""
-        if token not in self.sound:
-            self.sound[token] = self.merged(self.text[token]) == [token]
-        if not self.sound[token] or before == _START:
-            return self.sound[token]
-        if (before, token) not in self.apart:
-            self.apart[before, token] = self.merged(self.text[before] + self.text[token]) == [before, token]
-        return self.apart[before, token]
+        """Whether ``token`` follows ``before`` in an encoding.
+
+        Both are merged side by side, the better merge first; they stay apart if the symbols that meet
+        at the seam never make the best merge.
+        """
+        sound, own, lefts, _ = self.history(token)
+        if not sound or before == _START:
+            return sound
+        key = before << 32 | token
+        if (known := self.apart.get(key)) is None:
+            _, other, _, rights = self.history(before)
+            i = j = 0
+            while True:
+                seam = self.rank.get(rights[i] + lefts[j], _NEVER)
+                if seam < other[i] and seam <= own[j]:
+                    known = False
+                    break
+                if other[i] == own[j] == _NEVER:
+                    known = True
+                    break
+                if other[i] <= own[j]:
+                    i += 1
+                else:
+                    j += 1
+            self.apart[key] = known
+        return known
 
     def compile(self, state: int, column: int, char: str) -> None:
         live = self.live[state]
@@ -105,7 +130,7 @@ class Transducer:
         step, token = next((r + 1, self.piece[u + char]) for u, t, r in live if u + char in self.piece and self.ends(t, self.piece[u + char]))
         onward = tuple((u + char, t, r - step) for u, t, r in live if u + char in self.begun)
         target = self.state((*onward, ("", token, 0)))
-        self.next[state, column], self.change[state, column] = target, step
+        self.next[state, column] = target << 5 | step + 16
 
     def symbols(self, codes: np.ndarray) -> np.ndarray:
         """The column of each character; -1 (a reset) stands before each text."""
@@ -120,27 +145,38 @@ class Transducer:
                 self.columns[char] = column
                 if column >= self.next.shape[1]:
                     self.next = np.concatenate([self.next, np.full_like(self.next, -1)], axis=1)
-                    self.change = np.concatenate([self.change, np.zeros_like(self.change)], axis=1)
             else:
                 column = _UNKNOWN + (1 if code < 0x80 else 2 if code < 0x800 else 3 if code < 0x10000 else 4) - 1
             self.column_of[code] = column
         self.chars = {c: k for k, c in self.columns.items()}
         return np.where(codes < 0, _RESET, self.column_of[np.maximum(codes, 0)])
 
-    def run(self, symbols: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of symbols from their states, side by side: last states and the change at each symbol."""
-        changes = np.zeros(symbols.shape, dtype=np.int8)
-        for k in range(symbols.shape[1]):
-            own = symbols[:, k]
-            after = self.next[states, own]
-            if (after < 0).any():
+    def run(self, symbols: np.ndarray, states: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The last ``sizes`` symbols of each row from its state, side by side: exit states and the change at each symbol.
+
+        Rows are sorted by size, longest first, and begin one after another.
+        """
+        width = symbols.shape[1]
+        order = np.argsort(-sizes, kind="stable")
+        columns = np.ascontiguousarray(symbols[order].T)
+        changes = np.full(columns.shape, 16, dtype=np.int8)
+        states = states[order].astype(np.int64)
+        begun = np.searchsorted(-sizes[order], -(width - np.arange(width)), "right")
+        for k in range(width):
+            n = begun[k]
+            if not n:
+                continue
+            own, at = columns[k, :n], states[:n]
+            after = self.next.ravel().take(at * self.next.shape[1] + own)
+            if after.min() < 0:
                 missing = np.flatnonzero(after < 0)
-                for s, c in set(zip(states[missing].tolist(), own[missing].tolist(), strict=True)):
+                for s, c in set(zip(at[missing].tolist(), own[missing].tolist(), strict=True)):
                     self.compile(s, c, self.chars[c])
-                after = self.next[states, own]
-            changes[:, k] = self.change[states, own]
-            states = after
-        return states, changes
+                after = self.next.ravel().take(at * self.next.shape[1] + own)
+            changes[k, :n] = after & 31
+            states[:n] = after >> 5
+        back = np.argsort(order, kind="stable")
+        return states[back], (changes - 16).T[back]
 
     def changes(self, symbols: np.ndarray) -> np.ndarray:
         """The change of the count at each symbol of a sequence that begins with a reset."""
@@ -157,8 +193,7 @@ class Transducer:
         padded = padded.reshape(rows, CHUNK)
         fixed = certain.any(axis=1)
         first = np.where(fixed, certain.argmax(axis=1), CHUNK)
-        tail = np.arange(CHUNK) >= first[:, None]
-        exits, out = self.run(np.where(tail, padded, _STAY), np.full(rows, self.start))
+        exits, out = self.run(padded, np.full(rows, self.start), CHUNK - first)
         # scan: a chunk whose map is constant gives its exit state whatever comes in
         entry = np.full(rows, -1)
         entry[0] = self.start
@@ -166,13 +201,16 @@ class Transducer:
         todo = np.ones(rows, dtype=bool)
         while todo.any():
             ready = np.flatnonzero(todo & (entry >= 0))
-            head = np.where(tail[ready], _STAY, padded[ready])
-            states, heads = self.run(head[:, : max(1, int(first[ready].max()))], entry[ready])
-            out[ready, : heads.shape[1]] += heads
+            width = max(1, int(first[ready].max()))
+            # heads end where tails begin: put them flush right
+            source = np.arange(width) - (width - first[ready][:, None])
+            head = np.where(source >= 0, np.take_along_axis(padded[ready], np.maximum(source, 0), axis=1), _STAY)
+            states, heads = self.run(head, entry[ready], first[ready])
+            at, k = np.nonzero(source >= 0)
+            out[ready[at], source[at, k]] += heads[at, k]
             todo[ready] = False
-            open_ends = ready[~fixed[ready]]
-            onward = open_ends[open_ends + 1 < rows] + 1
-            entry[onward] = states[~fixed[ready]][open_ends + 1 < rows]
+            open_ends = ~fixed[ready] & (ready + 1 < rows)
+            entry[ready[open_ends] + 1] = states[open_ends]
         return out.ravel()[:n]
 
 
