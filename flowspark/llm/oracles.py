@@ -6,8 +6,8 @@ ORACLES: dict[str, str] = {}
 
 ORACLES["op9_exact_top_k"] = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, x -> x IS NULL OR NOT isfinite(x)), true)
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
@@ -55,15 +55,16 @@ WITH d AS (
 ), slots AS (
   SELECT CAST(x AS DOUBLE) * CAST(0.6180339887498949 AS DOUBLE) - floor(CAST(x AS DOUBLE) * CAST(0.6180339887498949 AS DOUBLE)) AS u
   FROM plan, unnest(range(0, (wanted + block - 1) // block)) AS r(x)
+), hits AS (
+  SELECT r.i, count(s.u) AS hits FROM ranges r LEFT JOIN slots s ON s.u >= r.low AND s.u < r.high GROUP BY r.i
 ), n AS (
-  SELECT r.i, r.source, r.source_size, r.target, block, (r.source_size + block - 1) // block AS blocks,
-    least(count(s.u), 2 * ((r.source_size + block - 1) // block)) AS slots
-  FROM ranges r LEFT JOIN slots s ON s.u >= r.low AND s.u < r.high, plan GROUP BY ALL
+  SELECT source, source_size, target, block, (source_size + block - 1) // block AS blocks, least(hits, 2 * ((source_size + block - 1) // block)) AS slots
+  FROM ranges JOIN hits USING (i), plan
 ), c AS (
   SELECT d.*, sum(size) OVER (PARTITION BY source ORDER BY place, row) - size AS first FROM d
 )
 SELECT c.doc_id, c.size, n.source_size, n.target,
-  CAST(CASE WHEN c.size = 0 THEN 0 ELSE c.size * (n.slots // n.blocks)
-    + greatest(0, least(c.first + c.size, (n.slots % n.blocks) * n.block) - c.first) END AS BIGINT) AS taken
+  CAST(CASE WHEN c.size = 0 THEN 0 ELSE c.size * (n.slots // greatest(n.blocks, 1))
+    + greatest(0, least(c.first + c.size, (n.slots % greatest(n.blocks, 1)) * n.block) - c.first) END AS BIGINT) AS taken
 FROM c JOIN n ON c.source IS NOT DISTINCT FROM n.source
 """
