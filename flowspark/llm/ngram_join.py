@@ -219,8 +219,10 @@ def _may_link(rule: Rule) -> F.Column:
     return (F.least(a, b) * rule.den >= F.greatest(a, b) * rule.num) & (apart * (rule.den + rule.num) <= (a + b) * (rule.den - rule.num))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """The links among candidate pairs (a, b)."""
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """The links among candidate pairs (a, b); only texts of nodes in pairs are written for the joins."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node")
+    texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id").dropDuplicates(["node"]).select("node", "text"))
     side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify_task(rule), "a long, b long")
 
@@ -244,19 +246,14 @@ def links(docs: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
     signatures = nodes.select("node", "n_shingles", "prefix").mapInArrow(_signature_task(rule, cut), "sig long, node long")
     shared = signatures.groupBy("sig").agg(F.min("node").alias("center"), F.max("node").alias("top")).where("center < top").select("sig", "center")
     members = stored(signatures.join(shared, "sig").select("sig", "node", "center"))
-    wanted = members.select("node").distinct()
     attributes = nodes.select("node", "n_shingles", *parity)
-    texts = stored(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(nodes.join(wanted, "node", "left_semi").select("node", "doc_id"), "doc_id")
-        .dropDuplicates(["node"]).select("node", "text")
-    )
 
     stars = members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = (
+    pairs = stored(
         stars.alias("s").join(attributes.alias("a"), F.col("s.a") == F.col("a.node")).join(attributes.alias("b"), F.col("s.b") == F.col("b.node"))
         .where(_may_link(rule)).select("s.a", "s.b")
     )
-    near = stored(_verified(pairs, texts, rule))
+    near = stored(_verified(pairs, docs, nodes, rule))
 
     grouped = components(near)
     placed = members.join(grouped, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
@@ -266,8 +263,8 @@ def links(docs: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
         rest.alias("a").join(rest.alias("b"), (F.col("a.sig") == F.col("b.sig")) & (F.col("a.component") < F.col("b.component")) & _may_link(rule))
         .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
     )
-    tried = pairs.select(F.col("a"), F.col("b"))
-    more = _verified(far.join(tried.union(tried.select(F.col("b"), F.col("a"))), ["a", "b"], "left_anti"), texts, rule)
+    tried = pairs.union(pairs.select(F.col("b"), F.col("a")))
+    more = _verified(stored(far.join(tried, ["a", "b"], "left_anti")), docs, nodes, rule)
     return near.union(more)
 
 
