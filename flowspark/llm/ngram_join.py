@@ -36,6 +36,7 @@ from flowspark.llm.components import components
 CELLS = 1 << 22
 MAX_FREQUENT = 1 << 18
 PARITY = 8
+WIDE, WIDE_FROM = 128, 800  # words of the wide bitmap, and the set size from which on there is one
 _BIN = 1.1
 
 
@@ -130,9 +131,15 @@ def _set_task(rule: Rule, levels: np.ndarray) -> Callable:
                 prefix = pa.ListArray.from_arrays(pa.array(np.append(starts, length.sum()).astype(np.int32)), longs(ordered[take]))
                 bits = np.zeros((count, PARITY), np.uint64)
                 np.bitwise_xor.at(bits, (rows, (hashes & np.uint64(PARITY - 1)).astype(np.int64)), np.uint64(1) << ((hashes >> np.uint64(8)) & np.uint64(63)))
+                large = sizes >= WIDE_FROM
+                own = large[rows]
+                wide = np.zeros((int(large.sum()), WIDE), np.uint64)
+                place = (np.cumsum(large) - 1)[rows[own]]
+                np.bitwise_xor.at(wide, (place, ((hashes[own] >> np.uint64(16)) & np.uint64(WIDE - 1)).astype(np.int64)), np.uint64(1) << ((hashes[own] >> np.uint64(24)) & np.uint64(63)))
+                maps = iter(wide)
                 yield pa.record_batch(
-                    [batch["doc_id"].slice(first, count), longs(sizes), longs(node), prefix, *(longs(bits[:, i]) for i in range(PARITY))],
-                    ["doc_id", "n_shingles", "node", "prefix", *(f"p{i}" for i in range(PARITY))],
+                    [batch["doc_id"].slice(first, count), longs(sizes), longs(node), prefix, pa.array([next(maps).tobytes() if x else None for x in large], pa.binary()), *(longs(bits[:, i]) for i in range(PARITY))],
+                    ["doc_id", "n_shingles", "node", "prefix", "wide", *(f"p{i}" for i in range(PARITY))],
                 )
 
     return task
@@ -219,6 +226,27 @@ def _may_link(rule: Rule) -> F.Column:
     return (F.least(a, b) * rule.den >= F.greatest(a, b) * rule.num) & (apart * (rule.den + rule.num) <= (a + b) * (rule.den - rule.num))
 
 
+def _close_task(rule: Rule) -> Callable:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint64).reshape(-1, WIDE) for c in ("wide_a", "wide_b"))
+                apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+                total = batch["n_a"].to_numpy() + batch["n_b"].to_numpy()
+                yield batch.select(["a", "b"]).filter(pa.array(apart * (rule.den + rule.num) <= total * (rule.den - rule.num)))
+
+    return task
+
+
+def _close(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """``pairs(a, b)`` without those of large sets whose wide bitmaps prove them apart."""
+    large = nodes.where("wide IS NOT NULL")
+    side = lambda x: large.select(F.col("node").alias(x), F.col("wide").alias(f"wide_{x}"), F.col("n_shingles").alias(f"n_{x}"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    proven = "wide_a IS NOT NULL AND wide_b IS NOT NULL"
+    return both.where(proven).mapInArrow(_close_task(rule), "a long, b long").union(both.where(f"NOT ({proven})").select("a", "b"))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     """The links among candidate pairs (a, b); only texts of nodes in pairs are written for the joins."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node")
@@ -231,7 +259,7 @@ def sets(docs: DataFrame, rule: Rule) -> DataFrame:
     """One row per document, written once: its set's size, node, prefix and parity bits."""
     parity = ", ".join(f"p{i} long" for i in range(PARITY))
     levels = _frequent(docs, rule.n)
-    return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_set_task(rule, levels), f"doc_id long, n_shingles long, node long, prefix array<long>, {parity}"))
+    return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_set_task(rule, levels), f"doc_id long, n_shingles long, node long, prefix array<long>, wide binary, {parity}"))
 
 
 def links(docs: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
@@ -240,7 +268,7 @@ def links(docs: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
     first = found.where("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     nodes = stored(
         found.where("n_shingles > 1 AND doc_id IS NOT NULL").join(first, ["node", "doc_id"], "left_semi")
-        .select("node", "doc_id", "n_shingles", "prefix", *parity).dropDuplicates(["node"])
+        .select("node", "doc_id", "n_shingles", "prefix", "wide", *parity).dropDuplicates(["node"])
     )
     cut = _boundary(nodes, rule)
     signatures = nodes.select("node", "n_shingles", "prefix").mapInArrow(_signature_task(rule, cut), "sig long, node long")
@@ -253,6 +281,7 @@ def links(docs: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
         stars.alias("s").join(attributes.alias("a"), F.col("s.a") == F.col("a.node")).join(attributes.alias("b"), F.col("s.b") == F.col("b.node"))
         .where(_may_link(rule)).select("s.a", "s.b")
     )
+    pairs = stored(_close(pairs, nodes, rule))
     near = stored(_verified(pairs, docs, nodes, rule))
 
     grouped = components(near)
@@ -264,7 +293,8 @@ def links(docs: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
         .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
     )
     tried = pairs.union(pairs.select(F.col("b"), F.col("a")))
-    more = _verified(stored(far.join(tried, ["a", "b"], "left_anti")), docs, nodes, rule)
+    open_pairs = stored(far.join(tried, ["a", "b"], "left_anti"))
+    more = _verified(stored(_close(open_pairs, nodes, rule)), docs, nodes, rule)
     return near.union(more)
 
 
