@@ -37,6 +37,7 @@ CELLS = 1 << 22
 MAX_FREQUENT = 1 << 18
 PARITY = 8
 WIDE, WIDE_FROM = 128, 800  # words of the wide bitmap, and the set size from which on there is one
+FIRST_LISTS = 8
 _BIN = 1.1
 
 
@@ -287,9 +288,13 @@ def links(docs: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
     grouped = components(near)
     placed = members.join(grouped, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
     torn = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig")
-    rest = stored(placed.join(torn, "sig", "left_semi").join(attributes, "node"))
+    apart = stored(placed.join(torn, "sig", "left_semi"))
+    # a pair that meets on many lists is made once: not where both know a common list that comes before
+    low = apart.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, FIRST_LISTS).alias("low"))
+    rest = stored(apart.join(attributes, "node").join(low, "node"))
+    before = F.exists("a.low", lambda x: (x < F.col("a.sig")) & F.array_contains(F.col("b.low"), x))
     far = (
-        rest.alias("a").join(rest.alias("b"), (F.col("a.sig") == F.col("b.sig")) & (F.col("a.component") < F.col("b.component")) & _may_link(rule))
+        rest.alias("a").join(rest.alias("b"), (F.col("a.sig") == F.col("b.sig")) & (F.col("a.component") < F.col("b.component")) & _may_link(rule) & ~before)
         .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
     )
     tried = pairs.union(pairs.select(F.col("b"), F.col("a")))
