@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,14 +35,10 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "flo
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which every executor can reach.
 
-    The setting is the cluster's; only where it is unset (a local session) is a temporary
-    folder used instead.
+    The setting is the cluster's; where it is unset, the session's warehouse is used, never a
+    machine-local folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="flowspark-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -32,11 +32,23 @@ def inspect_files(spark: SparkSession, pattern: str) -> list[tuple[str, str, str
     return result
 
 
+def numbered(names: list[str]) -> tuple[str, ...]:
+    """Header names made unique: a name met again (blanks at its ends aside) gets .1, .2 and so on."""
+    seen: dict[str, int] = {}
+    out = []
+    for name_ in names:
+        key = name_.strip()
+        count = seen.get(key, 0)
+        seen[key] = count + 1
+        out.append(f"{name_}.{count}" if count else name_)
+    return tuple(out)
+
+
 def header_groups(spark: SparkSession, pattern: str) -> dict[tuple[str, tuple[str, ...]], list[str]]:
     """Files by (encoding, column names); files of one group are read together."""
     grouped: dict[tuple[str, tuple[str, ...]], list[str]] = {}
     for file, encoding, first in inspect_files(spark, pattern):
-        columns = tuple(next(csv.reader([first.lstrip("\ufeff").rstrip("\r")])))
+        columns = numbered(next(csv.reader([first.lstrip("\ufeff").rstrip("\r")])))
         grouped.setdefault((encoding, columns), []).append(file)
     return grouped
 
