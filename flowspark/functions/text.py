@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,3 +101,9 @@ def lookup(mapping: dict, key: Column, default: str | None = None) -> Column:
     table = F.create_map(*[F.lit(part) for pair in mapping.items() for part in pair])
     found = table[key]
     return found if default is None else F.coalesce(found, F.lit(default))
+
+
+def letter_profile(col: Column) -> Column:
+    """How often each letter a-z occurs, in either case: a small vector of any text; null counts as empty."""
+    text = F.coalesce(col, F.lit(""))
+    return F.array(*[(F.length(text) - F.length(F.translate(text, x + x.upper(), ""))).cast("float") for x in ascii_lowercase])

@@ -114,18 +114,27 @@ def holdout_metrics(scored: DataFrame, label: str = "label", confident: float =
     )
 
 
+def holdout_split(df: DataFrame, key: str, label: str = "label", sample_size: int | None = None,
+                  test_fraction: float = 0.2, seed: int = D.DEFAULT_SEED) -> DataFrame:
+    """The rows a model of this dataset is made from, with ``is_test``; the same rows on every call.
+
+    ``sample_size`` bounds the labelled rows that a model is fitted to; None takes all.
+    """
+    if sample_size is not None:
+        df = sample_n(df, sample_size, key, seed=seed)
+    classed = df.withColumn("_class", threat_target(F.col(label)))
+    return train_test_split(classed, key, "_class", test_fraction, seed).drop("_class")
+
+
 def train_dataset(df: DataFrame, key: str, label: str = "label", sample_size: int | None = None,
                   test_fraction: float = 0.2, seed: int = D.DEFAULT_SEED, features: list[str] | None = None,
                   **forest) -> tuple[PipelineModel, DataFrame]:
     """Sample, split, train and evaluate one dataset: (model, one-row metrics)."""
-    if sample_size is not None:
-        df = sample_n(df, sample_size, key, seed=seed)
     if features is None:
         features = [c for c in numeric_columns(df) if c != key]
     if not features:
         raise ValueError("no numeric feature to train on")
-    split = train_test_split(df.withColumn("_class", threat_target(F.col(label))), key, "_class", test_fraction, seed)
-    split = written(split.drop("_class"))  # training passes over it many times
+    split = written(holdout_split(df, key, label, sample_size, test_fraction, seed))  # training passes over it many times
     model = train_forest(split.filter(~F.col("is_test")), features, label, seed=seed, **forest)
     metrics = holdout_metrics(score(split.filter("is_test"), model), label)
     sizes = split.agg(

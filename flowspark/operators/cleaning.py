@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from flowspark import domains as D
 from flowspark.functions.text import strip
 from flowspark.operators.bounded import dimension, small_side
+from flowspark.session import written
 
 FRACTIONAL = (T.DoubleType, T.FloatType)
 
@@ -229,18 +230,19 @@ def coerce_numeric(df: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
     return df.withColumns(changed) if changed else df
 
 
-def ordered_codes(values: DataFrame, column: str, code: str, prefix_length: int = 2) -> DataFrame:
+def ordered_codes(values: DataFrame, column: str, code: str) -> DataFrame:
     """0-based position of every distinct value in text order.
 
-    Positions are counted inside groups of equal prefix and shifted by the sizes of the groups
-    before, so no single task sorts all values.
+    Distinct values are dealt into ranges of about equal size by sampled bounds and written once,
+    so that every read sees the same ranges.  Positions are counted inside a range and shifted by
+    the sizes of the ranges before: no single task sorts all values, whatever prefix they share.
     """
-    distinct = values.groupBy(column).agg(F.substring(F.first(column), 1, prefix_length).alias("_prefix"))
-    sizes = distinct.groupBy("_prefix").agg(F.count("*").alias("_size"))
-    before = F.sum("_size").over(Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("_prefix", F.coalesce(before, F.lit(0)).alias("_offset"))
-    rank = F.row_number().over(Window.partitionBy("_prefix").orderBy(column)) - 1
-    return distinct.join(offsets, "_prefix").select(column, (rank + F.col("_offset")).cast("bigint").alias(code))
+    ranged = written(values.select(column).distinct().repartitionByRange(column).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))  # one row per shuffle partition
+    before = F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_offset"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(column)) - 1
+    return ranged.join(F.broadcast(offsets), "_range").select(column, (rank + F.col("_offset")).cast("bigint").alias(code))
 
 
 def encode_categories(df: DataFrame, columns: Iterable[str], suffix: str = "") -> DataFrame:

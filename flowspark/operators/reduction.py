@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,8 +10,6 @@ from pyspark.sql import functions as F
 
 from flowspark.operators.cleaning import comparable, drop_columns, name, numeric_columns
 
-JVM_PAIRS = 30  # above this many pairs the generated aggregate grows too large to compile well
-
 
 def constant_columns(df: DataFrame, columns: list[str] | None = None) -> list[str]:
     """Columns with at most one distinct finite value, by their range: no distinct count needed."""
@@ -29,24 +26,13 @@ def remove_constant(df: DataFrame) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson r of every column pair (earlier, later), over rows where both are present."""
-    narrow = comparable(df, columns)
-    pairs = list(combinations(range(len(columns)), 2))
-    if len(pairs) <= JVM_PAIRS:
-        found = [F.struct(F.lit(columns[i]).alias("col_a"), F.lit(columns[j]).alias("col_b"),
-                          F.lit(i).alias("pos_a"), F.lit(j).alias("pos_b"),
-                          F.corr(f"x{i}", f"x{j}").alias("r"))
-                 for i, j in pairs]
-        return narrow.agg(F.array(*found).alias("all")).select(F.inline("all"))
-    return _block_correlations(narrow, columns)
-
+    """Pearson r of every column pair (earlier, later), over rows where both are present.
 
-def _block_correlations(narrow: DataFrame, columns: list[str]) -> DataFrame:
-    """Wide tables: each task folds its rows into pair moments with matrix products.
-
-    Only one small row per pair and task is shuffled.  Values are shifted by the column means
-    first, which keeps the sums well conditioned.
+    Each task folds its rows into pair moments with matrix products, by one formula for any number
+    of columns.  Only one small row per pair and task is shuffled.  Values are shifted by the
+    column means first, which keeps the sums well conditioned.
     """
+    narrow = comparable(df, columns)
     means = narrow.agg(*[F.avg(x) for x in narrow.columns]).first()
     width = len(columns)
     values = narrow.select(*[(F.col(x) - F.lit(m or 0.0)).alias(x) for x, m in zip(narrow.columns, means)])

@@ -15,38 +15,50 @@ from flowspark.operators.bounded import small_side
 from flowspark.session import written
 
 BLOCK_ROWS = 16_384
+HELD_BYTES = 32 << 20
+
+
+def pairing(documents: DataFrame, embeddings: DataFrame, key: str = "id") -> DataFrame:
+    """Documents next to their vectors; ``pairing`` tells pairs from rows that only one side has, and none is lost."""
+    state = F.when(F.col("embedding").isNull(), "no vector").when(F.col("text").isNull(), "no document").otherwise("paired")
+    return documents.join(embeddings, key, "full_outer").withColumn("pairing", state)
 
 
 def zip_embeddings(documents: DataFrame, embeddings: DataFrame, key: str = "id") -> DataFrame:
     """Documents with their vectors.  A document without a vector, or the reverse, is an error."""
-    joined = documents.join(embeddings, key, "full_outer")
-    complete = F.col("embedding").isNotNull() & F.col("text").isNotNull()
     problem = F.raise_error(F.concat(F.lit("document and vector do not pair: "), F.col(key).cast("string")))
-    return joined.filter(F.when(complete, True).otherwise(problem))
-
-
-def cosine_distance(a: Column, b: Column) -> Column:
-    """1 - cosine, in double precision, never below 0."""
-    dot = _fold(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
-    norm = F.sqrt(_fold(F.transform(a, lambda x: x.cast("double") * x.cast("double")))) * F.sqrt(
-        _fold(F.transform(b, lambda x: x.cast("double") * x.cast("double"))))
-    return F.greatest(F.lit(0.0), 1.0 - dot / norm)
-
-
-def _fold(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda total, x: total + x)
+    complete = F.when(F.col("pairing") == "paired", True).otherwise(problem)
+    return pairing(documents, embeddings, key).filter(complete).drop("pairing")
 
 
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", corpus_id: str = "id",
-            query_vector: str = "query_embedding", vector: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
+            query_vector: str = "query_embedding", vector: str = "embedding", block_rows: int = BLOCK_ROWS,
+            held_bytes: int = HELD_BYTES) -> DataFrame:
     """Exact k nearest corpus rows of every query by cosine distance, ties by id.
 
-    Both sides are hashed into blocks of about ``block_rows`` rows.  Each pair of blocks is one
+    A side whose vectors take at most ``held_bytes``, by a count, is sent to every task and the
+    other side is folded where it lies: no vector is shuffled, only the k best per query and task.
+
+    Of two larger sides both are hashed into blocks of about ``block_rows`` rows.  Each pair of blocks is one
     group: one matrix product that emits only the k best of each query.  No row pair is ever
     materialised, no side has to fit anywhere whole, and the hashing leaves no hot group.  A side
-    is copied once per block of the other side, so up to ``block_rows`` queries cost no copy of
-    the corpus at all; larger blocks trade task memory for less shuffling.
+    is copied once per block of the other side; larger blocks trade task memory for less shuffling.
+    Both ways give the same hits.
     """
+    schema = T.StructType([
+        T.StructField(query_id, queries.schema[query_id].dataType),
+        T.StructField(corpus_id, corpus.schema[corpus_id].dataType),
+        T.StructField("distance", T.DoubleType()),
+    ])
+    asked = queries.select(F.col(query_id).alias("_id"), F.col(query_vector).alias("_v"))
+    known = corpus.select(F.col(corpus_id).alias("_id"), F.col(vector).alias("_v"))
+    if (held := _held(asked, held_bytes)) is not None:
+        found = known.mapInPandas(_fold_corpus(held, k, query_id, corpus_id), schema)
+        return rank_hits(found, query_id, corpus_id, "distance", k)
+    if (held := _held(known, held_bytes)) is not None:
+        found = asked.mapInPandas(_fold_queries(held, k, query_id, corpus_id), schema)
+        return rank_hits(found, query_id, corpus_id, "distance", k)
+
     query_blocks = max(1, math.ceil(queries.count() / block_rows))
     corpus_blocks = max(1, math.ceil(corpus.count() / block_rows))
 
@@ -59,11 +71,6 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "quer
 
     left = spread(queries, query_id, query_vector, "_qb", query_blocks, "_cb", corpus_blocks)
     right = spread(corpus, corpus_id, vector, "_cb", corpus_blocks, "_qb", query_blocks)
-    schema = T.StructType([
-        T.StructField(query_id, queries.schema[query_id].dataType),
-        T.StructField(corpus_id, corpus.schema[corpus_id].dataType),
-        T.StructField("distance", T.DoubleType()),
-    ])
 
     def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         return _block_nearest(q, c, k, query_id, corpus_id)
@@ -72,6 +79,41 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "quer
     return rank_hits(found, query_id, corpus_id, "distance", k)
 
 
+def _held(side: DataFrame, held_bytes: int) -> pd.DataFrame | None:
+    """The rows (_id, _v) of a side whose vectors fit into ``held_bytes``; the size is counted before any row is fetched."""
+    size = side.agg(F.count("*").alias("rows"), F.max(F.size("_v")).alias("width")).first()
+    if size["rows"] * (8 * (size["width"] or 0) + 64) > held_bytes:
+        return None
+    return side.toPandas()
+
+
+def _fold_corpus(held: pd.DataFrame, k: int, query_id: str, corpus_id: str):
+    """Per task: the k best of its corpus rows for every held query."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
+        for batch in batches:
+            found = _block_nearest(held, batch, k, query_id, corpus_id)
+            if best is not None:
+                both = pd.concat([best, found], ignore_index=True).sort_values(["distance", corpus_id], kind="stable")
+                found = both.groupby(query_id, sort=False).head(k)
+            best = found
+        if best is not None:
+            yield best
+
+    return fold
+
+
+def _fold_queries(held: pd.DataFrame, k: int, query_id: str, corpus_id: str):
+    """Per task: the k best of the held corpus for its queries."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield _block_nearest(batch, held, k, query_id, corpus_id)
+
+    return fold
+
+
 def _block_nearest(q: pd.DataFrame, c: pd.DataFrame, k: int, query_id: str, corpus_id: str) -> pd.DataFrame:
     import numpy as np
 
@@ -161,7 +203,8 @@ def bm25_scorer(queries: DataFrame, corpus: DataFrame, query_id: str = "query_id
     """Lexical pair scorer over whole texts.
 
     Words that no query asks for are dropped before anything is shuffled.  Term counts are joined
-    on (document, term), a key without hot spots; document frequencies cover the whole corpus.
+    on (document, term), a key without hot spots; document frequencies cover the whole corpus and
+    have one row per word asked for, so they are broadcast if the size check passes.
     """
 
     def score(pool: DataFrame) -> DataFrame:
@@ -169,7 +212,7 @@ def bm25_scorer(queries: DataFrame, corpus: DataFrame, query_id: str = "query_id
         used = small_side(query_terms.select("term").distinct())
         occurrences = corpus.select(corpus_id, F.explode(words(F.col(text))).alias("term")).join(used, "term", "left_semi")
         counted = occurrences.groupBy(corpus_id, "term").agg(F.count("*").alias("tf"))
-        frequency = counted.groupBy("term").agg(F.count("*").alias("df"))
+        frequency = small_side(counted.groupBy("term").agg(F.count("*").alias("df")))
         every_length = corpus.select(corpus_id, F.size(words(F.col(text))).alias("length"))
         size = every_length.agg(F.count("*").alias("docs"), F.avg("length").alias("mean_length")).first()
         lengths = every_length.join(small_side(pool.select(corpus_id).distinct()), corpus_id, "left_semi")

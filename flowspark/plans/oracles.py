@@ -6,6 +6,8 @@ written again here.
 
 from __future__ import annotations
 
+from string import ascii_lowercase
+
 from flowspark import domains as D
 from flowspark.plans.queries import FREE_TEXTS, GENERIC_COLUMNS, NUMBERS, PREDICTED, RULE_YAML
 from flowspark.plans.views import DIRTY, FLOWS, RESPONSES, RUN_COLUMNS
@@ -238,12 +240,6 @@ ORACLES["unify"] = (
     f"SELECT flow_id, dataset_source, CASE WHEN {IS_CIC} THEN fwd_pkts ELSE 0 END AS fwd_pkts, "
     f"CASE WHEN {IS_CIC} AND flow_id % 3 <> 0 THEN CAST(k AS DOUBLE) ELSE 0 END AS protocol, "
     f"round(CASE WHEN {IS_UNSW} THEN bwd_bytes ELSE 0 END, 6) AS bwd_bytes, round(CASE WHEN {IS_UNSW} AND flow_id % 5 <> 0 THEN duration ELSE 0 END, 6) AS dur FROM {FL}")
-_left = "(SELECT CASE WHEN column_name = 'l_orderkey' THEN 'o_orderkey' ELSE column_name END AS column_name FROM (DESCRIBE lineitem) UNION ALL SELECT 'label')"
-_right = "(SELECT column_name FROM (DESCRIBE orders) UNION ALL SELECT 'label')"
-ORACLES["schema_overlap"] = (
-    f"SELECT column_name, 'shared' AS side FROM {_left} a WHERE column_name IN (SELECT column_name FROM {_right} b) AND column_name NOT IN {texts(D.META_COLS)} "
-    f"UNION ALL SELECT column_name, 'left_only' FROM {_left} c WHERE column_name NOT IN (SELECT column_name FROM {_right} d) "
-    f"UNION ALL SELECT column_name, 'right_only' FROM {_right} e WHERE column_name NOT IN (SELECT column_name FROM {_left} f)")
 ORACLES["corpus_counts"] = (
     "SELECT source, count(*) AS n_documents FROM (SELECT source, text FROM documents UNION ALL SELECT 'pages', html FROM pages UNION ALL SELECT 'benchmark', text FROM benchmark) u "
     "WHERE text IS NOT NULL GROUP BY ROLLUP (source)")
@@ -409,18 +405,22 @@ ORACLES["rule_rejects"] = (
 CENTROIDS = (
     "(SELECT label AS query_id, list(m ORDER BY pos) AS q FROM (SELECT label, pos, avg(v) AS m FROM (SELECT label, generate_subscripts(embedding, 1) AS pos, "
     "CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) u GROUP BY 1, 2) g GROUP BY 1)")
-CORPUS = "(SELECT doc_id AS id, text, source, 'doc ' || doc_id AS title, embedding, label FROM documents JOIN embeddings ON doc_id = vec_id)"
+LETTER_COUNTS = "[" + ", ".join(f"CAST(length(coalesce(text, '')) - length(translate(coalesce(text, ''), '{x}{x.upper()}', '')) AS DOUBLE)" for x in ascii_lowercase) + "]"
+CORPUS = f"(SELECT doc_id AS id, text, source, 'doc ' || doc_id AS title, {LETTER_COUNTS} AS embedding FROM documents)"
 
 
 def dense(queries: str, corpus: str, k: int) -> str:
     return (f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM ("
-            f"SELECT query_id, id, round(greatest(0, list_cosine_distance(q, CAST(embedding AS DOUBLE[]))), 12) AS distance FROM {queries} qq, {corpus} cc) dd) rr WHERE rank <= {k}")
+            f"SELECT query_id, id, round(greatest(0, coalesce(nullif(list_cosine_distance(q, CAST(embedding AS DOUBLE[])), CAST('NaN' AS DOUBLE)), 1)), 12) AS distance FROM {queries} qq, {corpus} cc) dd) rr WHERE rank <= {k}")
 
 
 VECTORS = "(SELECT vec_id AS id, embedding, label FROM embeddings)"
-ORACLES["doc_embed_join"] = "SELECT vec_id AS id, source, n_chars, CAST(len(embedding) AS INT) AS dimension, CAST(length(text) AS INT) AS text_length FROM documents JOIN embeddings ON doc_id = vec_id"
+TEXT_QUERIES = f"(SELECT item_id AS query_id, text AS query_text, {LETTER_COUNTS} AS q FROM benchmark)"
+ORACLES["doc_embed_join"] = (
+    "SELECT coalesce(doc_id, vec_id) AS id, source, n_chars, CAST(len(embedding) AS INT) AS dimension, CAST(length(text) AS INT) AS text_length, "
+    "CASE WHEN embedding IS NULL THEN 'no vector' WHEN text IS NULL THEN 'no document' ELSE 'paired' END AS pairing FROM documents FULL JOIN embeddings ON doc_id = vec_id")
 ORACLES["knn_topk"] = f"SELECT query_id, id, round(distance, 6) AS distance, rank FROM ({dense(CENTROIDS, VECTORS, 10)}) t"
-ORACLES["knn_filtered"] = f"SELECT query_id, id, rank, round(distance, 6) AS distance FROM ({dense(CENTROIDS, f'(SELECT * FROM {CORPUS} WHERE source = {chr(39)}src7{chr(39)})', 3)}) t"
+ORACLES["knn_filtered"] = f"SELECT query_id, id, rank, round(distance, 6) AS distance FROM ({dense(TEXT_QUERIES, f'(SELECT * FROM {CORPUS} WHERE source = {chr(39)}src7{chr(39)})', 3)}) t"
 
 
 def reranked(pool: str, score: str, joins: str) -> str:
@@ -433,7 +433,6 @@ BY_LABEL = reranked(dense(CENTROIDS, VECTORS, 20), "CASE WHEN e.label = p.query_
 ORACLES["knn_rerank"] = f"SELECT query_id, id, rank, round(dense_distance, 6) AS dense_distance, round(score, 6) AS score, round(distance, 6) AS distance FROM ({BY_LABEL}) t"
 ORACLES["context_gate"] = (
     f"SELECT query_id, round(min(dense_distance), 6) AS best_distance, min(dense_distance) <= 0.25 AS use_context FROM ({BY_LABEL}) t GROUP BY 1")
-TEXT_QUERIES = "(SELECT item_id AS query_id, text AS query_text, CAST(embedding AS DOUBLE[]) AS q FROM benchmark JOIN embeddings ON item_id = vec_id)"
 _words = lambda x: f"regexp_extract_all(lower({x}), '[a-z0-9]+')"
 ORACLES["bm25_rerank"] = (
     f"WITH corpus AS (SELECT * FROM {CORPUS}), tq AS (SELECT DISTINCT query_id, unnest({_words('query_text')}) AS term FROM {TEXT_QUERIES}), "

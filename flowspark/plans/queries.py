@@ -135,13 +135,6 @@ def unify(spark, folder):
     return rounded(P.unify(left, right), ["bwd_bytes", "dur"])
 
 
-@query
-def schema_overlap(spark, folder):
-    return A.schema_overlap(
-        table(spark, folder, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey").withColumn("label", F.lit("x")),
-        table(spark, folder, "orders").withColumn("label", F.lit("y")))
-
-
 @query
 def corpus_counts(spark, folder):
     parts = [
@@ -526,11 +519,10 @@ def _centroids(spark, folder) -> DataFrame:
 
 @query
 def doc_embed_join(spark, folder):
+    """Every document and every vector; those without a partner are reported, not dropped."""
     documents = table(spark, folder, "documents").withColumnRenamed("doc_id", "id")
-    both = documents.join(_vectors(spark, folder).select("id"), "id", "left_semi")
-    matching = _vectors(spark, folder).join(documents.select("id"), "id", "left_semi")
-    zipped = V.zip_embeddings(both, matching)
-    return zipped.select("id", "source", "n_chars", F.size("embedding").alias("dimension"), F.length("text").alias("text_length"))
+    paired = V.pairing(documents, _vectors(spark, folder))
+    return paired.select("id", "source", "n_chars", F.size("embedding").alias("dimension"), F.length("text").alias("text_length"), "pairing")
 
 
 @query
@@ -540,14 +532,15 @@ def knn_topk(spark, folder):
 
 
 def _corpus(spark, folder) -> DataFrame:
-    documents = table(spark, folder, "documents").select(
-        F.col("doc_id").alias("id"), "text", "source", F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"), "n_chars")
-    return documents.join(_vectors(spark, folder), "id")
+    """Every document, with a vector of its own text."""
+    return table(spark, folder, "documents").select(
+        F.col("doc_id").alias("id"), "text", "source", F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"), "n_chars",
+        X.letter_profile(F.col("text")).alias("embedding"))
 
 
 @query
 def knn_filtered(spark, folder):
-    hits = V.retrieve(_centroids(spark, folder), _corpus(spark, folder), top_k=3, source="src7")
+    hits = V.retrieve(_text_queries(spark, folder), _corpus(spark, folder), top_k=3, source="src7")
     return hits.select("query_id", "id", "rank", F.round("distance", 6).alias("distance"))
 
 
@@ -574,10 +567,9 @@ def context_gate(spark, folder):
 
 
 def _text_queries(spark, folder) -> DataFrame:
-    """Benchmark passages as queries, paired with the vectors of the same id."""
-    items = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
-    return items.join(vectors, "query_id")
+    """Benchmark passages as queries, each with a vector of its own text."""
+    return table(spark, folder, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("query_text"), X.letter_profile(F.col("text")).alias("query_embedding"))
 
 
 def _text_hits(spark, folder, top_k: int = 5) -> DataFrame:
@@ -849,9 +841,8 @@ def results_write(spark, folder):
 
 # ---------------------------------------------------------------- classifier
 
-FOREST = {"trees": 10, "depth": 5}
+FOREST_ROWS = 200_000  # at most so many labelled rows per dataset are fitted
 FOREST_FEATURES = ["fwd_pkts", "bwd_pkts", "fwd_bytes", "bwd_bytes", "duration", "syn", "ack", "psh", "pkt_rate", "byte_rate"]
-_trained: dict[tuple[str, str], dict] = {}
 
 
 def _forest_input(spark, folder) -> DataFrame:
@@ -863,17 +854,16 @@ def _forest_input(spark, folder) -> DataFrame:
 
 
 def _forests(spark, folder) -> dict:
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _trained:
-        _trained[key] = training.train_all(
-            _forest_input(spark, folder), "flow_id", (D.CIC, D.UNSW), sample_size=None, features=FOREST_FEATURES, **FOREST)
-    return _trained[key][0]
+    """Models of both datasets, trained, stored and read back."""
+    target = shared_folder(spark)
+    models, _ = training.train_all(
+        _forest_input(spark, folder), "flow_id", (D.CIC, D.UNSW), FOREST_ROWS, target, features=FOREST_FEATURES)
+    return training.load_all(target, tuple(models))
 
 
 @query
 def rf_train(spark, folder):
-    _forests(spark, folder)
-    return _trained[(spark.sparkContext.applicationId, folder)][1]
+    return training.train_all(_forest_input(spark, folder), "flow_id", (D.CIC, D.UNSW), FOREST_ROWS, features=FOREST_FEATURES)[1]
 
 
 @query
@@ -893,9 +883,11 @@ def rf_route(spark, folder):
 
 @query
 def rf_metrics(spark, folder):
-    df = _forest_input(spark, folder)
-    scored = M.score_by_source(df, _forests(spark, folder))
-    return M.holdout_metrics(scored)
+    """Both models together, on the rows that their training left out."""
+    df, models = _forest_input(spark, folder), _forests(spark, folder)
+    splits = [M.holdout_split(df.filter(F.col("dataset_source") == s), "flow_id", sample_size=FOREST_ROWS) for s in models]
+    held = reduce(lambda a, b: a.unionByName(b), splits).filter("is_test")
+    return M.holdout_metrics(M.score_by_source(held, models))
 
 
 @query

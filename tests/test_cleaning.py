@@ -205,3 +205,9 @@ def test_whole_job(spark, cic, tmp_path):
     assert set(read_ranges(spark, folders["ranges"])) == set(features)
     report = spark.read.json(folders["report"])
     assert {r["dataset"]: r["records"] for r in report.collect()} == {"cic": 200, "unsw": 40, "unified": 240}
+
+
+def test_codes_of_values_with_a_long_common_prefix(spark):
+    values = spark.createDataFrame([(f"customer#{i * 7919 % 3000:09d}",) for i in range(3000)], "v string")
+    got = [r[0] for r in C.ordered_codes(values, "v", "code").orderBy("v").select("code").collect()]
+    assert got == list(range(3000))

@@ -22,25 +22,42 @@ def brute(queries, corpus, k):
     return {(q, r + 1): (int(i), d[q, i]) for q in range(len(queries)) for r, i in enumerate(np.lexsort((np.arange(len(corpus)), d[q]))[:k])}
 
 
-@pytest.mark.parametrize("block_rows", [7, 64, 4096])
-def test_nearest_equals_brute_force_for_any_block_size(spark, vectors, block_rows):
+@pytest.mark.parametrize("block_rows, held_bytes", [(7, 0), (64, 0), (4096, 0), (64, 1 << 13), (64, 1 << 20)])
+def test_nearest_equals_brute_force_for_any_block_size(spark, vectors, block_rows, held_bytes):
     corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, embedding array<float>")
     wide = np.array([[np.float64(np.float32(x)) for x in v] for v in vectors])
     queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(wide[:40])], "query_id long, query_embedding array<double>")
-    got = {(r["query_id"], r["rank"]): (r["id"], r["distance"]) for r in V.nearest(queries, corpus, 6, block_rows=block_rows).collect()}
+    got = {(r["query_id"], r["rank"]): (r["id"], r["distance"]) for r in V.nearest(queries, corpus, 6, block_rows=block_rows, held_bytes=held_bytes).collect()}
     want = brute(wide[:40], wide, 6)
     assert got.keys() == want.keys()
     assert all(got[key][0] == want[key][0] and got[key][1] == pytest.approx(want[key][1], abs=1e-9) for key in want)
 
 
-def test_expression_distance(spark):
-    df = spark.createDataFrame([([1.0, 0.0], [1.0, 0.0]), ([1.0, 0.0], [-2.0, 0.0]), ([1.0, 0.0], [0.0, 3.0])], "a array<float>, b array<float>")
-    assert [r[0] for r in df.select(V.cosine_distance(F.col("a"), F.col("b"))).collect()] == [0.0, 2.0, 1.0]
+def test_a_small_corpus_is_held_for_many_queries(spark, vectors):
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    queries, corpus = spark.createDataFrame(rows, "query_id long, query_embedding array<double>"), spark.createDataFrame(rows[:20], "id long, embedding array<double>")
+    hits = lambda held: sorted(map(tuple, V.nearest(queries, corpus, 3, block_rows=50, held_bytes=held).select("query_id", "id", "rank").collect()))
+    assert hits(20 * (8 * 16 + 64)) == hits(0)
+
+
+def test_held_side_leaves_no_exchange_below_python(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "id long, embedding array<float>")
+    plan = V.nearest(df.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding")), df, 2)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in text and "Exchange" not in text[text.index("MapInPandas"):]
+
+
+def test_pairing_reports_both_sides(spark):
+    documents = spark.createDataFrame([(1, "a"), (2, "b")], "id int, text string")
+    embeddings = spark.createDataFrame([(2, [1.0]), (3, [2.0])], "id int, embedding array<float>")
+    assert {r["id"]: r["pairing"] for r in V.pairing(documents, embeddings).collect()} == {1: "no vector", 2: "paired", 3: "no document"}
+    with pytest.raises(Exception, match="do not pair"):
+        V.zip_embeddings(documents, embeddings).collect()
 
 
 def test_no_cross_join_and_no_full_group(spark):
     df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "id long, embedding array<float>")
-    plan = V.nearest(df.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding")), df, 2, block_rows=5)
+    plan = V.nearest(df.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding")), df, 2, block_rows=5, held_bytes=0)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in text and "NestedLoop" not in text and "WindowGroupLimit" in text
 
