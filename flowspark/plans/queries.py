@@ -725,7 +725,7 @@ def triage_outcome(spark, folder):
 def triage_flow(spark, folder):
     """The whole triage chain: describe, score, retrieve, gate, pack, answer, settle."""
     df = wide_flows(labelled(flows(spark, folder)), keep=("label", *FOREST_FEATURES))
-    records = triage_run.described(df, models=_forests(spark, folder))
+    records = triage_run.described(df, models=_forests(_forest_input(spark, folder)))
     notes = K.class_notes(spark)
     model, collection, _ = knowledge_build.build(notes, shared_folder(spark), dimension=128)
     embed = lambda queries: V.apply_embedder(model, queries)
@@ -846,18 +846,18 @@ FOREST_FEATURES = ["fwd_pkts", "bwd_pkts", "fwd_bytes", "bwd_bytes", "duration",
 
 
 def _forest_input(spark, folder) -> DataFrame:
-    """Flows with a target the features can explain, apart from some noise."""
+    """Flows with a target the features can explain, apart from some noise; written once, as sampling, splits and scoring each read it."""
     df = labelled(flows(spark, folder)).select("flow_id", "dataset_source", *FOREST_FEATURES)
     calm = (F.col("syn") < 4) & (F.col("fwd_pkts") < 30)
     noisy = F.when(F.col("flow_id") % 37 == 0, ~calm).otherwise(calm)
-    return df.withColumn("label", F.when(noisy, "Benign").otherwise("DoS"))
+    return written(df.withColumn("label", F.when(noisy, "Benign").otherwise("DoS")))
 
 
-def _forests(spark, folder) -> dict:
+def _forests(df) -> dict:
     """Models of both datasets, trained, stored and read back."""
-    target = shared_folder(spark)
+    target = shared_folder(df.sparkSession)
     models, _ = training.train_all(
-        _forest_input(spark, folder), "flow_id", (D.CIC, D.UNSW), FOREST_ROWS, target, features=FOREST_FEATURES)
+        df, "flow_id", (D.CIC, D.UNSW), FOREST_ROWS, target, features=FOREST_FEATURES)
     return training.load_all(target, tuple(models))
 
 
@@ -868,23 +868,25 @@ def rf_train(spark, folder):
 
 @query
 def rf_score(spark, folder):
-    model = _forests(spark, folder)[D.CIC]
-    scored = M.score(_forest_input(spark, folder).filter(F.col("dataset_source") == D.CIC), model)
+    df = _forest_input(spark, folder)
+    model = _forests(df)[D.CIC]
+    scored = M.score(df.filter(F.col("dataset_source") == D.CIC), model)
     return scored.select("flow_id", "rf_label", F.round("rf_confidence", 6).alias("rf_confidence"))
 
 
 @query
 def rf_route(spark, folder):
-    df = _forest_input(spark, folder).withColumn(
-        "dataset_source", F.when(F.col("flow_id") % 10 == 0, "OTHER").otherwise(F.col("dataset_source")))
-    scored = M.score_by_source(df, _forests(spark, folder))
+    df = _forest_input(spark, folder)
+    rerouted = df.withColumn("dataset_source", F.when(F.col("flow_id") % 10 == 0, "OTHER").otherwise(F.col("dataset_source")))
+    scored = M.score_by_source(rerouted, _forests(df))
     return scored.groupBy("dataset_source", "rf_label").agg(F.count("*").alias("n"))
 
 
 @query
 def rf_metrics(spark, folder):
     """Both models together, on the rows that their training left out."""
-    df, models = _forest_input(spark, folder), _forests(spark, folder)
+    df = _forest_input(spark, folder)
+    models = _forests(df)
     splits = [M.holdout_split(df.filter(F.col("dataset_source") == s), "flow_id", sample_size=FOREST_ROWS) for s in models]
     held = reduce(lambda a, b: a.unionByName(b), splits).filter("is_test")
     return M.holdout_metrics(M.score_by_source(held, models))
