@@ -38,6 +38,7 @@ MAX_FREQUENT = 1 << 18
 PARITY = 8
 WIDE, WIDE_FROM = 128, 800  # words of the wide bitmap, and the set size from which on there is one
 FIRST_LISTS = 8
+MARKS = 1 << 24  # bits of the table that tells which texts have a candidate
 _BIN = 1.1
 
 
@@ -248,10 +249,23 @@ def _close(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     return both.where(proven).mapInArrow(_close_task(rule), "a long, b long").union(both.where(f"NOT ({proven})").select("a", "b"))
 
 
+def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without most of those whose doc_id is not in ``ids``, before anything is shuffled.
+
+    One bit per hashed id, 64 to a row: the broadcast has at most MARKS / 64 rows whatever the input.
+    Many ids fill it and it then lets more documents through, never fewer.
+    """
+    place = f"pmod(xxhash64(doc_id), {MARKS})"
+    word, bit = F.expr(f"{place} div 64"), F.expr(f"shiftleft(1L, cast({place} % 64 AS int))")
+    marks = ids.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return docs.join(F.broadcast(marks), (word == F.col("word")) & (F.col("bits").bitwiseAND(bit) != 0), "left_semi")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     """The links among candidate pairs (a, b); only texts of nodes in pairs are written for the joins."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node")
-    texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id").dropDuplicates(["node"]).select("node", "text"))
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node"))
+    own = _marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids)
+    texts = stored(own.join(ids, "doc_id").dropDuplicates(["node"]).select("node", "text"))
     side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify_task(rule), "a long, b long")
 
