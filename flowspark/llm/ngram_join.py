@@ -280,11 +280,8 @@ def sets(docs: DataFrame, rule: Rule) -> DataFrame:
 def links(docs: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
     """Links between nodes: enough of them to give every component, each one verified."""
     parity = [f"p{i}" for i in range(PARITY)]
-    first = found.where("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    nodes = stored(
-        found.where("n_shingles > 1 AND doc_id IS NOT NULL").join(first, ["node", "doc_id"], "left_semi")
-        .select("node", "doc_id", "n_shingles", "prefix", "wide", *parity).dropDuplicates(["node"])
-    )
+    one = F.min_by(F.struct("doc_id", "n_shingles", "prefix", "wide", *parity), "doc_id").alias("one")  # combines before the shuffle
+    nodes = stored(found.where("n_shingles > 1 AND doc_id IS NOT NULL").groupBy("node").agg(one).select("node", "one.*"))
     cut = _boundary(nodes, rule)
     signatures = nodes.select("node", "n_shingles", "prefix").mapInArrow(_signature_task(rule, cut), "sig long, node long")
     shared = signatures.groupBy("sig").agg(F.min("node").alias("center"), F.max("node").alias("top")).where("center < top").select("sig", "center")
