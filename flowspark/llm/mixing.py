@@ -3,14 +3,17 @@
 * Sources, by code point with null last, weigh ``weights`` in turn and share ``share`` of all words; a
   target stops at ``cap`` times its source's words, and the excess goes to the others by weight (the
   common level is found from running sums over the sources in the order in which they fill up).
-* The schedule has a slot per block of words.  Slot i is the point ``frac(i * golden ratio)``, which the
-  cumulative target shares map to a source; a slot's rank among its source's slots names the block it takes.
-* Documents are shuffled within their source by a hash of doc_id; running word counts cut them into
-  equal blocks.  Slots and documents meet on (source, block).
+* The schedule has a slot per word.  Slot i is the point ``frac(i * golden ratio)``, which the cumulative
+  target shares map to a source; a slot's rank among its source's slots, modulo the source's size, names the
+  word it takes.  So a source's words are taken in turn, and only the number of its slots matters.
+* That number is counted without making the slots: the points below a share are a sum of floors of a
+  linear function, which Euclid's algorithm adds up in a few dozen steps of whole numbers at any size.
+* Documents are shuffled within their source by a hash of doc_id; running word counts say which of their
+  words the last, unfinished pass over the source takes.
 
 A source with a third of all rows is no hot spot: documents are placed by sums per (source, hash bucket)
-and a running sum inside each bucket, slots by counts per (source, run of slots).  At most ``SLOTS``
-slots exist at any size; blocks grow instead.
+and a running sum inside each bucket.  What a source gets differs from its target by the discrepancy of the
+schedule only, a few words, whatever the sizes of the source and of the rest.
 
 Nulls and edge cases: a null text has no words; a null source is a source of its own, the last; documents
 without words are taken zero times; repeated rows count each and share the words that fall on them;
@@ -20,12 +23,14 @@ an empty result.  Reruns agree.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.llm.common import WORD, stored
 
-SLOTS, BUCKETS, RUN, CELLS = 1 << 20, 4096, 1024, 4096
+BUCKETS = 4096
 GOLDEN = 0.6180339887498949
 RESULTS = ("size", "source_size", "target", "taken")
 
@@ -50,19 +55,37 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap: float
     return levels.withColumn("common", common).select("i", "k", "source_size", F.least("most", F.col("common") * F.col("weight")).alias("target"))
 
 
-def _slots(spark, goals: DataFrame, total: int, slots: int) -> DataFrame:
-    """(k, rank) of every slot; ranks begin at 0 in each source."""
+def below(share: Column, slots: int) -> Column:
+    """How many i below ``slots`` have ``frac(i * GOLDEN) < share``."""
+    a, m = GOLDEN.as_integer_ratio()
+    whole = lambda x: F.lit(Decimal(x)).cast("decimal(38,0)")
+    most, all_low, steps = m, 0, []
+    n, b = slots, 0
+    while m:
+        steps.append(F.struct(whole(a // m).alias("q"), whole(a % m).alias("a"), whole(m).alias("m")))
+        all_low += n * (n - 1) * (a // m) + 2 * n * (b // m)
+        n, b = divmod(a % m * n + b % m, m)
+        a, m = m, a % m
+    state = "struct<n:decimal(38,0),b:decimal(38,0),twice:decimal(38,0)>"
+
+    def step(s: Column, x: Column) -> Column:
+        end = x.a * s.n + s.b % x.m
+        # twice the sum of floor((a i + b) / m) over i below n
+        twice = s.twice + s.n * (s.n - 1) * x.q + 2 * s.n * F.floor((s.b - s.b % x.m) / x.m)
+        return F.struct(F.floor((end - end % x.m) / x.m).alias("n"), (end % x.m).alias("b"), twice.alias("twice")).cast(state)
+
+    reach = F.least(F.ceil(share * float(most)), F.lit(most)).cast("decimal(38,0)")
+    start = F.struct(whole(slots).alias("n"), (whole(most) - reach).alias("b"), whole(0).alias("twice")).cast(state)
+    return ((whole(all_low + 2 * slots) - F.aggregate(F.array(*steps), start, step, lambda s: s.twice)).cast("long") / 2).cast("long")
+
+
+def _slots(goals: DataFrame, slots: int, cap: float) -> DataFrame:
+    """(k, source_size, slots): how many of the schedule's slots each source takes."""
     order = Window.orderBy("i")
-    share = F.sum("target").over(order) / F.sum("target").over(Window.partitionBy())
-    ranges = goals.withColumn("high", share).withColumn("low", F.lag("high", 1, 0.0).over(order)).where("high > low")
-    cells = ranges.select("k", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1)))).alias("cell"))
-    point = F.col("id") * GOLDEN
-    points = spark.range(0, slots).withColumn("u", point - F.floor(point)).withColumn("cell", F.floor(F.col("u") * CELLS))
-    placed = points.join(cells, "cell").where("u >= low AND u < high").select("k", "id", F.floor(F.col("id") / RUN).alias("run"))
-    runs = placed.groupBy("k", "run").agg(F.count("*").alias("n"))
-    before = runs.select("k", "run", (F.sum("n").over(Window.partitionBy("k").orderBy("run")) - F.col("n")).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("k", "run").orderBy("id")) - 1
-    return placed.withColumn("inside", inside).join(before, ["k", "run"]).select("k", (F.col("before") + F.col("inside")).alias("rank"))
+    share = F.try_divide(F.sum("target").over(order), F.sum("target").over(Window.partitionBy()))
+    reached = goals.withColumn("share", share).withColumn("reached", F.coalesce(below(F.col("share"), slots), F.lit(0)))
+    hits = F.col("reached") - F.lag("reached", 1, 0).over(order)
+    return reached.select("k", "source_size", F.least(hits, F.floor(cap * F.col("source_size"))).alias("slots"))
 
 
 def mixed(docs: DataFrame, text: bool = False, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -76,22 +99,13 @@ def mixed(docs: DataFrame, text: bool = False, weights: tuple[int, ...] = (5, 2,
     sizes = rows.groupBy("k").agg(F.first("source", ignorenulls=True).alias("source"), F.sum("size").alias("source_size"))
     goals = stored(targets(sizes, weights, share, cap))
     wanted = goals.agg(F.sum("target")).first()[0] or 0.0
-    block = max(1, -(-int(wanted) // SLOTS))
-    slots = -(-int(round(wanted)) // block)
 
     sums = rows.groupBy("k", "bucket").agg(F.sum("size").alias("n"))
     starts = sums.select("k", "bucket", (F.sum("n").over(Window.partitionBy("k").orderBy("bucket")) - F.col("n")).alias("before"))
     inside = F.sum("size").over(Window.partitionBy("k", "bucket").orderBy("place", "row")) - F.col("size")
     at = rows.where("size > 0").withColumn("inside", inside).join(starts, ["k", "bucket"]).select("row", "k", "size", (F.col("before") + F.col("inside")).alias("first"))
-    parts = (
-        at.withColumn("last", F.expr("first + size")).withColumn("block", F.explode(F.expr(f"sequence(first div {block}, (last - 1) div {block})")))
-        .withColumn("words", F.expr(f"least(last, (block + 1) * {block}) - greatest(first, block * {block})"))
-    )
-    times = (
-        _slots(docs.sparkSession, goals, wanted, slots).join(goals.select("k", F.expr(f"(source_size + {block - 1}) div {block}").alias("blocks")), "k")
-        .where(F.col("rank") < int(cap) * F.col("blocks")).groupBy("k", F.expr("rank % blocks").alias("block")).agg(F.count("*").alias("times"))
-    )
-    taken = parts.join(times, ["k", "block"]).groupBy("row").agg(F.sum(F.expr("words * times")).alias("taken"))
+    passes = at.join(_slots(goals, round(wanted), cap), "k")
+    taken = passes.select("row", F.expr("size * (slots div source_size) + greatest(0L, least(first + size, slots % source_size) - first)").alias("taken"))
     return (
         sized.join(taken.withColumnRenamed("row", "row "), "row ", "left").join(goals.select(F.col("k").alias("k "), "source_size", "target"), "k ")
         .select(*own, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

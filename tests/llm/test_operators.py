@@ -94,6 +94,29 @@ def test_mix(spark, docs, texts):
     assert mixing.mixed(empty(spark)).collect() == []
 
 
+def test_mix_small_sources_of_a_large_corpus(spark):
+    """Every source comes near its target, however large the others are; 16,000,000 words in all."""
+    small = {"a": 1, "b": 40, "c": 150, "d": 1000}
+    rows = [(i, n // 2 if i % 2 else n - n // 2, s) for i, (s, n) in enumerate(x for x in small.items() for _ in range(2))] + [(100 + i, 2_000_000, f"z{i % 2}") for i in range(8)]
+    frame = spark.createDataFrame(rows, "doc_id long, n int, source string").selectExpr("doc_id", "repeat('a ', n) AS text", "source")
+    got = mixing.mixed(frame).collect()
+    assert sum(r["size"] for r in got) == 16_000_000 + sum(small.values())
+    for source in {s for _, _, s in rows}:
+        own = [r for r in got if r.doc_id in {i for i, _, s in rows if s == source}]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 8 and all(r.taken <= 2 * r["size"] for r in own)
+
+
+def test_mix_counts_of_slots(spark):
+    """The counted schedule is the one written out, and at sizes beyond writing out its counts stay near the shares."""
+    shares = [0.0, 1e-9, 0.1, 0.3819, 0.5, 0.625, 0.9999999, 1.0, 1.0000000000000002]
+    frame = spark.createDataFrame([(x,) for x in shares], "x double")
+    for n in (0, 1, 2, 1000, 1_000_003):
+        points = np.arange(n) * mixing.GOLDEN % 1
+        assert [r[0] for r in frame.select(mixing.below(frame.x, n)).collect()] == [int((points < x).sum()) for x in shares]
+    n = 12_345_678_901
+    assert all(abs(r[1] - min(r[0], 1) * n) <= 20 for r in frame.select("x", mixing.below(frame.x, n)).collect())
+
+
 def test_bpe_round_trip(spark, docs, texts):
     from tokenizers import Tokenizer
 
