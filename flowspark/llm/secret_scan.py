@@ -8,6 +8,8 @@ Matches of a pattern and the text between them alternate, so positions are runni
 pieces of ``split`` and the strings of ``regexp_extract_all``; only texts with a match are split.
 The interval join's key is (document, cell of ``SCOPE`` characters), and a part meets only the
 neighbouring cells, so a document with very many parts is no hot spot: a cell holds few of them.
+A secret is in all cells up to ``SCOPE`` around it, an identifier or endpoint in those of its first and its
+last character, of which the one that faces the secret is less than ``SCOPE`` away from it.
 
 Nulls and edge cases: a null text is empty and has no spans; positions are code points; rows that repeat a
 doc_id are joined with their own row's parts by a hash of the text, and repeated rows get equal
@@ -72,7 +74,8 @@ def scanned(docs: DataFrame, text: bool = False) -> DataFrame:
     secret = F.col("kind").isin("assign", "hex", "key")
     near = lambda c: F.explode(F.sequence(F.floor((F.col("start") - SCOPE) / SCOPE), F.floor((F.col("end") + SCOPE) / SCOPE))).alias(c)
     secrets = part.where(secret).select("doc_id", "text_hash", "start", "end", "kind", near("cell")).alias("b")
-    others = part.where(~secret).select("doc_id", "text_hash", "start", "end", "kind", F.floor(F.col("start") / SCOPE).alias("cell")).alias("a")
+    ends = F.explode(F.array_distinct(F.array(F.floor(F.col("start") / SCOPE), F.floor((F.col("end") - 1) / SCOPE)))).alias("cell")
+    others = part.where(~secret).select("doc_id", "text_hash", "start", "end", "kind", ends).alias("a")
     pairs = others.join(secrets, ["doc_id", "text_hash", "cell"]).where(
         (F.col("a.start") < F.col("b.end") + SCOPE) & (F.col("b.start") < F.col("a.end") + SCOPE) & ((F.col("a.end") <= F.col("b.start")) | (F.col("b.end") <= F.col("a.start")))
     )

@@ -250,3 +250,21 @@ def test_secrets(spark, texts):
     masked = {r.doc_id: r.text for r in secret_scan.redacted(found).collect()}
     assert masked[5] == "[secret] at [secret] [secret]" and masked[0] is None and "abcdefgh1" not in masked[2]
     assert secret_scan.scanned(frame.limit(0)).collect() == []
+
+
+def test_secrets_at_all_alignments(spark):
+    """A part of any length and a secret are linked at gaps below the scope and not from there on, wherever they stand."""
+    part = {n: "https://" + "h" * (n - 8) for n in (12, 60, 399, 450)}
+    own, want = {}, {}
+    for shift in range(0, 200, 7):
+        for n, url in part.items():
+            for gap in (1, 180, 199, 200):
+                for before in (True, False):
+                    first, second = (url, "token=abcdefghijkl") if before else ("token=abcdefghijkl", url)
+                    i = len(own)
+                    own[i] = "-" * shift + first + " " + "-" * (gap - 2) + (" " if gap > 1 else "") + second
+                    start = shift if before else shift + len(first) + gap
+                    want[i] = f"url:{start}:{start + n}" if gap < 200 else ""
+    frame = spark.createDataFrame(list(own.items()), "doc_id long, text string")
+    got = {r.doc_id: ",".join(x for x in r.spans.split(",") if x.startswith("url")) for r in secret_scan.digests(secret_scan.scanned(frame)).collect()}
+    assert got == want
