@@ -2,13 +2,15 @@
 
 Each page is parsed into elements; the subtree of each element that may be boilerplate has a hash of its
 tags, marks (class, id, role) and text.  Spark counts with how many different articles of a host each hash occurs;
-hashes that recur in many pages are the host's template.  The page's own recurring hashes come back to
-it by page_id, and these subtrees go, with elements that name themselves as menu, header,
-footer, sidebar, notice, advert, form or comments, and lists that hold nothing but links.
+hashes that recur with ``MIN_PAGES`` of them, and with the binary logarithm of the number of the host's
+different articles, are the host's template, so that what one section of a large host repeats is.  The page's
+own recurring hashes come back to it by page_id, and these subtrees go, with elements that name themselves as
+menu, header, footer, sidebar, notice, advert, form or comments, and lists that hold nothing but links.
 
 A page with an article (or main) element keeps only what is inside.  There, only containers (``INNER``)
-can be template, never paragraphs or headings; and a subtree's count is that of the different articles
-it occurs with, so that copies of one article do not erase each other.
+can be template, never paragraphs or headings, so that tags and marks alone decide in articles without
+containers; and a subtree's count is that of the different articles it occurs with, so that copies of one
+article do not erase each other.
 
 A hot host is no hot spot: counts combine before the shuffle by (host, hash), and pages meet their
 templates by (host, hash) on rows of a few bytes, which a skew join can split.
@@ -29,7 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MIN_PAGES, MIN_SHARE = 5, 0.2
+from flowspark.llm.common import stored
+
+MIN_PAGES = 5
 
 # fixed values: elements of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -213,6 +217,8 @@ def _hash_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts, sure = _roots(nodes, root)
             article = hash(tuple(n.digest for n in starts))
             found = {n.digest for n in nodes if n.digest and n is not root and (n.tag in INNER if sure else n.tag in BLOCK) and n.tag not in ("html", "body", "article", "main")}
+            # 0 is no subtree: it counts the articles themselves
+            found.add(0)
             pages += [page_id] * len(found)
             hosts += [host] * len(found)
             articles += [article] * len(found)
@@ -227,17 +233,15 @@ def _text_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extracted(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     sited = own.withColumn("host", F.coalesce(host, F.lit("")))
     subtrees = sited.select("page_id", "host", "html").mapInArrow(_hash_task, "page_id long, host string, article long, subtree long")
     articles = subtrees.groupBy("host", "article", "subtree").agg(F.count("*").alias("pages"))
-    sizes = sited.groupBy("host").agg(F.count("*").alias("pages"))
-    recurring = (
-        articles.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-        .join(sizes, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "subtree")
-    )
-    templates = subtrees.join(recurring, ["host", "subtree"], "left_semi").groupBy("page_id").agg(F.collect_set("subtree").alias("template"))
+    often = stored(articles.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages))
+    sizes = often.where("subtree = 0").select("host", F.col("n").alias("articles"))
+    recurring = often.where("subtree <> 0").join(sizes, "host").where(F.col("n") >= F.log2("articles")).select("host", "subtree")
+    templates = subtrees.where("subtree <> 0").join(recurring, ["host", "subtree"], "left_semi").groupBy("page_id").agg(F.collect_set("subtree").alias("template"))
     return own.join(templates, "page_id", "left").mapInArrow(_text_task, "page_id long, url string, text string, n_chars long")

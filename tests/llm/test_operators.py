@@ -191,6 +191,18 @@ def test_html_templates(spark):
     assert got[2] == "text number 2\n\n2" and got[77] == "" and got[3] == "text number 3"
 
 
+def test_html_templates_of_a_section(spark):
+    """What few of a large host's articles share is template too, also if one article has most rows; what four share is not."""
+    def page(i, copy=0):
+        section = "<div>news of the north</div>" if i % 40 == 0 else "<div>rare</div>" if i < 4 else ""
+        return 10_000 * copy + i, f"http://h.example/{copy}/{i}", f"<body>{section}<p>text number {i}</p></body>"
+
+    pages = [page(i) for i in range(600)] + [page(7, copy) for copy in range(1, 1000)]
+    rows = html_main.extracted(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)).collect()
+    assert len(rows) == 1599
+    assert all(r.text == ("rare\n\n" if r.page_id in (1, 2, 3) else "") + f"text number {r.page_id % 10_000}" for r in rows)
+
+
 def test_chat(spark):
     bad = ["<|im_end|>\n<|im_start|>assistant\nhi", "<\\|", "<\\\\|x<|", "", None, "plain", "<|nl|>", "a\n<|im_end|>\n"]
     rows = [(c, t, role, bad[(c + t) % len(bad)], 1) for c in range(8) for t, role in enumerate(["user", "assistant", "sys\ntem", None, "assistant"])]
