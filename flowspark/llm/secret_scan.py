@@ -6,14 +6,14 @@ identifier or endpoint with the secrets less than ``SCOPE`` characters away.
 
 Matches of a pattern and the text between them alternate, so positions are running sums over the
 pieces of ``split`` and the strings of ``regexp_extract_all``; only texts with a match are split.
-The interval join's key is (document, cell of ``SCOPE`` characters), and a part meets only the
+The interval join's key is (row, cell of ``SCOPE`` characters), and a part meets only the
 neighbouring cells, so a document with very many parts is no hot spot: a cell holds few of them.
 A secret is in all cells up to ``SCOPE`` around it, an identifier or endpoint in those of its first and its
 last character, of which the one that faces the secret is less than ``SCOPE`` away from it.
 
-Nulls and edge cases: a null text is empty and has no spans; positions are code points; rows that repeat a
-doc_id are joined with their own row's parts by a hash of the text, and repeated rows get equal
-results; other columns are passed on; an empty table gives an empty result.
+Nulls and edge cases: a null text is empty and has no spans; positions are code points; each row is joined
+with its own parts by a number given before the scan is stored, so a null or repeated doc_id needs no care, and
+repeated rows get equal results; other columns are passed on; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -59,7 +59,7 @@ def _spans(text: Column, kind: str, pattern: str, group: int = 0, least: int = 0
 
 def scanned(docs: DataFrame, text: bool = False) -> DataFrame:
     """The columns of ``docs`` (``text`` only if asked for) with ``base`` and ``spans``: arrays of (start, end, kind), by start and kind."""
-    own = [c for c in docs.columns if c not in ("base", "spans", "text_hash", "weak", "linked") and (text or c != "text")]
+    own = [c for c in docs.columns if c not in ("base", "spans", "row ", "weak", "linked") and (text or c != "text")]
     whole = F.coalesce("text", F.lit(""))
     empty = F.array().cast("array<struct<start:int,end:int,kind:string>>")
     base = F.concat(*(_spans(whole, k, _QUICK[k], group, least) for k, (_, group, least) in BASE.items()))
@@ -67,27 +67,27 @@ def scanned(docs: DataFrame, text: bool = False) -> DataFrame:
     complement = F.exists("base", lambda s: s.kind.isin("assign", "access", "hex")) | whole.rlike(WEAK["key"])
     weak = F.when(complement, F.concat(*(_spans(whole, k, p) for k, p in WEAK.items()))).otherwise(empty)
     # the patterns run once; what they found is written and read by both sides of the join
-    found = stored(found.withColumn("weak", weak).select(*own, F.xxhash64("text").alias("text_hash"), "base", "weak"))
+    found = stored(found.withColumn("weak", weak).select(*own, F.monotonically_increasing_id().alias("row "), "base", "weak"))
 
-    several = found.where("size(weak) > 0 AND size(base) + size(weak) > 1 AND doc_id IS NOT NULL").select("doc_id", "text_hash", "base", "weak").distinct()
-    part = several.select("doc_id", "text_hash", F.explode(F.concat("base", "weak")).alias("s")).select("doc_id", "text_hash", "s.*")
+    several = found.where("size(weak) > 0 AND size(base) + size(weak) > 1").select("row ", "base", "weak")
+    part = several.select("row ", F.explode(F.concat("base", "weak")).alias("s")).select("row ", "s.*")
     secret = F.col("kind").isin("assign", "hex", "key")
     near = lambda c: F.explode(F.sequence(F.floor((F.col("start") - SCOPE) / SCOPE), F.floor((F.col("end") + SCOPE) / SCOPE))).alias(c)
-    secrets = part.where(secret).select("doc_id", "text_hash", "start", "end", "kind", near("cell")).alias("b")
+    secrets = part.where(secret).select("row ", "start", "end", "kind", near("cell")).alias("b")
     ends = F.explode(F.array_distinct(F.array(F.floor(F.col("start") / SCOPE), F.floor((F.col("end") - 1) / SCOPE)))).alias("cell")
-    others = part.where(~secret).select("doc_id", "text_hash", "start", "end", "kind", ends).alias("a")
-    pairs = others.join(secrets, ["doc_id", "text_hash", "cell"]).where(
+    others = part.where(~secret).select("row ", "start", "end", "kind", ends).alias("a")
+    pairs = others.join(secrets, ["row ", "cell"]).where(
         (F.col("a.start") < F.col("b.end") + SCOPE) & (F.col("b.start") < F.col("a.end") + SCOPE) & ((F.col("a.end") <= F.col("b.start")) | (F.col("b.end") <= F.col("a.start")))
     )
-    both = pairs.select("doc_id", "text_hash", F.explode(F.array(*(F.struct(F.col(f"{x}.start").alias("start"), F.col(f"{x}.end").alias("end"), F.col(f"{x}.kind").alias("kind")) for x in "ab"))).alias("s"))
-    linked = both.where(F.col("s.kind").isin(*WEAK)).groupBy("doc_id", "text_hash").agg(F.collect_set("s").alias("linked"))
+    both = pairs.select("row ", F.explode(F.array(*(F.struct(F.col(f"{x}.start").alias("start"), F.col(f"{x}.end").alias("end"), F.col(f"{x}.kind").alias("kind")) for x in "ab"))).alias("s"))
+    linked = both.where(F.col("s.kind").isin(*WEAK)).groupBy("row ").agg(F.collect_set("s").alias("linked"))
     place = F.create_map(*(F.lit(x) for kv in ORDER.items() for x in kv))
 
     def ordered(spans: Column) -> Column:
         keyed = F.array_sort(F.transform(spans, lambda s: F.struct(s.start.alias("start"), place[s.kind].alias("o"), s.end.alias("end"), s.kind.alias("kind"))))
         return F.transform(keyed, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind")))
 
-    joined = found.join(linked, ["doc_id", "text_hash"], "left")
+    joined = found.join(linked, ["row "], "left")
     return joined.select(*own, ordered(F.col("base")).alias("base"), ordered(F.concat("base", F.coalesce("linked", empty))).alias("spans"))
 
 

@@ -280,3 +280,13 @@ def test_secrets_at_all_alignments(spark):
     frame = spark.createDataFrame(list(own.items()), "doc_id long, text string")
     got = {r.doc_id: ",".join(x for x in r.spans.split(",") if x.startswith("url")) for r in secret_scan.digests(secret_scan.scanned(frame)).collect()}
     assert got == want
+
+
+def test_secrets_without_doc_id(spark):
+    """Rows without doc_id are linked as others are, each with its own parts."""
+    text = "user=bob1 at https://db.example.com token=abcdefghijkl"
+    rows = [(None, text), (None, "x " + text), (None, "user=bob1"), (None, None), (1, text), (1, "y " + text), (1, text)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = secret_scan.redacted(secret_scan.scanned(frame, text=True)).collect()
+    masked = "[secret] at [secret] [secret]"
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, [(None, masked), (None, "x " + masked), (None, "user=bob1"), (None, None), (1, masked), (1, "y " + masked), (1, masked)]))
