@@ -5,8 +5,8 @@ documents, one of the whole raw corpus.  A document's score is its mean log rati
 is kept if no base rule fails and the score reaches the threshold.
 
 * Trusted documents come from at most ``sample`` labelled rows (the smallest hashes of doc_id), so
-  the side that is broadcast has a fixed size.  Half of them fit the multinomial, the other half
-  and the labelled bad rows place the threshold.
+  the side that is broadcast has a fixed size.  Half of them fit the multinomial; all other labelled
+  rows, however many, place the threshold, by counts per range of scores.
 * Counts of the raw corpus cover all documents.  Each task adds its counts up before the shuffle,
   so a task sends ``BUCKETS`` rows at most, and the model is one fixed-size array.
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import IS_WORD, Rolling, Slice, longs, mixed, repeated, slices
+from flowspark.llm.common import IS_WORD, Rolling, Slice, longs, mixed, repeated, slices, stored
 
 BUCKETS = 1 << 14
 SAMPLE = 20_000
@@ -112,12 +112,12 @@ def _score_task(ratio: np.ndarray, text: bool) -> Callable[[Iterator[pa.RecordBa
     return task
 
 
-def _labelled(labels: DataFrame, sample: int) -> DataFrame:
-    """At most ``sample`` rows (doc_id, good, fit), the smallest hashes of doc_id first."""
+def _labelled(labels: DataFrame, sample: int | None = None) -> DataFrame:
+    """Rows (doc_id, good, fit): all, or those of at most ``sample`` rows, the smallest hashes of doc_id first."""
     rows = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("quality"))
     order = F.xxhash64("doc_id")
     return (
-        rows.orderBy(order, "doc_id", "quality").limit(sample).groupBy("doc_id")
+        (rows if sample is None else rows.orderBy(order, "doc_id", "quality").limit(sample)).groupBy("doc_id")
         .agg(F.min("quality").alias("low"), F.max("quality").alias("high")).where("low = high")
         .select("doc_id", (F.col("low") == 1).alias("good"), (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0).alias("fit"))
     )
@@ -142,20 +142,29 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarr
 def threshold(docs: DataFrame, labels: DataFrame, ratio: np.ndarray, sample: int = SAMPLE, keep: float = KEEP) -> float:
     """The score that the share ``keep`` of the good labelled rows outside the fit reaches, or the middle of the gap to the bad ones.
 
-    Only labelled rows of the bounded sample are scored; their scores are the one thing collected.
+    All labelled rows outside the fit are scored; only counts per range of scores are collected.
     """
-    labelled = F.broadcast(_labelled(labels, sample).where("NOT (good AND fit)").select("doc_id", "good"))
-    rows = (
-        docs.select("doc_id", "text").join(labelled, "doc_id").select("good", "text").mapInArrow(_score_task(ratio, False), "good boolean, " + ", ".join(f"{c} long" for c in COUNTS) + ", score double")
-        .where(~base_failed()).select("good", "score").collect()
-    )
-    good = np.sort([s for g, s in rows if g])
-    bad = np.sort([s for g, s in rows if not g])
-    if not len(good):
+    fit = F.broadcast(_labelled(labels, sample).where("good AND fit").select("doc_id"))
+    held = _labelled(labels).select("doc_id", "good").join(fit, "doc_id", "left_anti")
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in COUNTS) + ", score double"
+    scores = docs.select("doc_id", "text").mapInArrow(_score_task(ratio, False), schema).where(~base_failed()).select("doc_id", "score")
+    rows = stored(scores.join(held, "doc_id").select("good", "score"))
+    good = rows.where("good").withColumn("key", F.round(F.col("score") * 1e9).cast("long"))
+    n = good.count()
+    if not n:
         return float("-inf")
-    floor = good[min(int((1 - keep) * len(good)), len(good) - 1)]
-    below = bad[bad < floor]
-    return float((floor + below[-1]) / 2) if len(below) else float(floor)
+    rank = min(int((1 - keep) * n), n - 1)
+    # scores have nine decimals: three at a time
+    for unit in (10**6, 10**3, 1):
+        part = F.expr(f"key div {unit}")
+        for found, count in sorted(good.groupBy(part).count().collect()):
+            if rank < count:
+                break
+            rank -= count
+        good = good.where(part == found)
+    floor = good.agg(F.min("score")).first()[0]
+    below = rows.where(~F.col("good") & (F.col("score") < floor)).agg(F.max("score")).first()[0]
+    return floor if below is None else (floor + below) / 2
 
 
 def base_failed() -> F.Column:

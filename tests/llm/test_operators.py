@@ -232,6 +232,22 @@ def test_quality(spark, docs, texts):
     assert quality.judged(empty(spark), labels.limit(0)).collect() == []
 
 
+def test_quality_threshold(spark, docs):
+    """All labelled rows outside the fit place the threshold, not those of the sample alone."""
+    rng = random.Random(4)
+    quality_of = {i: rng.randrange(2) for i in range(6, 70)}
+    labels = spark.createDataFrame([(i, q, 0) for i, q in quality_of.items()], "doc_id long, quality int, toxic int")
+    for sample, keep in ((6, 0.999), (20, 0.7), (1000, 0.5)):
+        fit = {r.doc_id for r in quality._labelled(labels, sample).where("good AND fit").collect()}
+        rows = quality.judged(docs, labels, sample=sample, keep=keep).collect()
+        held = [(r.score, quality_of[r.doc_id]) for r in rows if r.doc_id in quality_of and r.doc_id not in fit and not r.base_failed]
+        good = sorted(x for x, q in held if q)
+        floor = good[min(int((1 - keep) * len(good)), len(good) - 1)]
+        cut = (floor + max((x for x, q in held if not q and x < floor), default=floor)) / 2
+        assert quality.threshold(docs, labels, quality.fitted(docs, labels, sample), sample, keep) == pytest.approx(cut, abs=1e-12)
+        assert all(r.kept == (not r.base_failed and r.score >= cut) for r in rows)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     vectors = [(i, [float(x) for x in rng.normal(size=8).round(1) / 3]) for i in range(300)]
