@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.llm import bpe, chat, html_main, maxscore, mixing, ngram_join, quality, repeats, secret_scan, token_fst
+from flowspark.llm import bpe, chat, html_main, importance, maxscore, mixing, ngram_join, quality, repeats, secret_scan, sharding, token_fst, whitening
 from flowspark.llm.common import table
 
 
@@ -58,6 +58,20 @@ def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.joined(table(spark, folder, "documents").select("doc_id", "text"), ngram_join.Rule(3, 90, 100))
 
 
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    embeddings = table(spark, folder, "embeddings")
+    return whitening.whitened(embeddings, whitening.fitted(embeddings))
+
+
+def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return importance.resampled(docs, table(spark, folder, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_label_propagation_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.sharded(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_mix_sources": op2_mix_sources,
@@ -69,4 +83,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_secret_scan": op10_secret_scan,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_label_propagation_sharding": op13_label_propagation_sharding,
 }
