@@ -31,7 +31,7 @@ from flowspark.plans.views import dirty, flows, labelled, responses, runs, table
 from flowspark.session import shared_folder, use_settings, written
 from flowspark.sources import knowledge as K
 from flowspark.sources import tables as T
-from flowspark.sources import vectors as U
+from flowspark.sources.collection import Collection
 from flowspark.sources.flow_csv import read_cic
 from flowspark.sources.runs import append_summary, read_runs, write_results, write_summary
 
@@ -596,17 +596,18 @@ def vec_upsert(spark, folder):
     existing = _vectors(spark, folder).select("id", "label")
     shifted = existing.select((F.col("id") + 250).alias("id"), (F.col("label") + 100).alias("label"), F.col("id").alias("seq"))
     repeated = existing.select((F.col("id") % 100).alias("id"), (F.col("label") + 200).alias("label"), (F.col("id") + 10_000).alias("seq"))
-    return U.upsert(existing, shifted.unionByName(repeated), "id", "seq").select("id", "label")
+    kept = Collection.create(existing, shared_folder(spark))
+    kept.upsert(shifted)
+    kept.upsert(shifted.unionByName(repeated))
+    return kept.rows().select("id", "label")
 
 
 @query
 def collection_size(spark, folder):
-    base = shared_folder(spark)
     existing = _vectors(spark, folder)
-    existing.write.parquet(base)
-    incoming = existing.withColumns({"id": F.col("id") + 250, "seq": F.col("id")})
-    merged = U.upsert_table(spark, base, incoming)
-    return spark.read.parquet(merged).agg(F.count("*").alias("n"), F.max("id").alias("last_id"))
+    kept = Collection.create(existing, shared_folder(spark))
+    kept.upsert(existing.withColumns({"id": F.col("id") + 250, "seq": F.col("id")}))
+    return kept.rows().agg(F.lit(kept.size()).cast("long").alias("n"), F.max("id").alias("last_id"))
 
 
 @query

@@ -1,14 +1,12 @@
-"""Vector tables: keyed upsert, metadata flattening, count and reset."""
+"""Metadata of vector tables; ``collection.Collection`` keeps the tables themselves."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowspark.operators.cleaning import name
-from flowspark.operators.evaluation import latest
-from flowspark.session import shared_folder
 
 
 def flat_metadata(df: DataFrame, metadata: str = "metadata", title: str = "title", source: str = "source") -> Column:
@@ -24,26 +22,3 @@ def flat_metadata(df: DataFrame, metadata: str = "metadata", title: str = "title
         entries[field.name] = F.coalesce(text, entries[field.name]) if field.name in entries else text
     pairs = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in entries.items()])
     return F.map_from_entries(F.filter(pairs, lambda pair: pair["value"].isNotNull()))
-
-
-def upsert(existing: DataFrame, incoming: DataFrame, key: str, order: str) -> DataFrame:
-    """New rows replace existing ones of the same key; within the new rows the last by ``order`` wins."""
-    newest = latest(incoming, [key], [order]).select(*incoming.columns)
-    return existing.join(newest.select(key), key, "left_anti").unionByName(newest, allowMissingColumns=True)
-
-
-def upsert_table(spark: SparkSession, path: str, incoming: DataFrame, key: str = "id", order: str = "seq") -> str:
-    """Write the merged collection to a new folder and return it; the old folder is left as it is."""
-    target = shared_folder(spark)
-    upsert(spark.read.parquet(path), incoming, key, order).write.parquet(target)
-    return target
-
-
-def reset_table(spark: SparkSession, path: str) -> None:
-    """Empty the collection, keeping its schema."""
-    schema = spark.read.parquet(path).schema
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
-
-
-def table_size(spark: SparkSession, path: str) -> int:
-    return spark.read.parquet(path).count()

@@ -140,17 +140,6 @@ def test_knowledge_base_end_to_end(spark, sources, tmp_path):
     assert "CLASS-DDOS" in {r["id"] for r in hits if r["query_id"] == 2}
 
 
-def test_vector_collection(spark, tmp_path):
-    path = str(tmp_path / "v")
-    spark.createDataFrame([(1, "a"), (2, "b")], "id int, text string").write.parquet(path)
-    incoming = spark.createDataFrame([(2, "c", 1), (2, "d", 3), (3, "e", 2), (2, "x", 2)], "id int, text string, seq int")
-    merged = U.upsert_table(spark, path, incoming)
-    assert {r["id"]: r["text"] for r in spark.read.parquet(merged).collect()} == {1: "a", 2: "d", 3: "e"}
-    assert U.table_size(spark, merged) == 3
-    U.reset_table(spark, path)
-    assert U.table_size(spark, path) == 0
-
-
 def test_metadata_is_flattened(spark):
     df = spark.createDataFrame([("t", None, (["a", "b"], 5, None, {"k": "v"}, "own"))],
                                "title string, source string, metadata struct<tags array<string>, n int, gone string, deep map<string,string>, title string>")
