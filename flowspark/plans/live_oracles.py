@@ -41,3 +41,11 @@ ORACLES["stream_context"] = f"WITH a AS {AR}, {KEPT} SELECT * FROM ({window_sql(
 ORACLES["stream_sessions"] = f"WITH a AS {AR}, {KEPT} SELECT * FROM ({session_sql('kept')}) w WHERE {CLOSED}"
 ORACLES["stream_late"] = f"WITH a AS {AR}, {KEPT} SELECT user_id, arrival, count(*) AS n_late, min(ts) AS earliest FROM dealt WHERE late GROUP BY 1, 2"
 ORACLES["live_progress"] = O.ORACLES["batch_progress"]
+
+# ---------------------------------------------------------------- raw readers
+
+# a field of blanks only is kept by the files; an empty label is read as null
+ORACLES["scan_csv_encodings"] = (
+    f"SELECT {O.strip("replace(raw_label, '–', 'é')")} AS label, count(*) AS n, CAST(sum(flow_id) AS BIGINT) AS ids, "
+    "CAST(sum(fwd_pkts) FILTER (WHERE flow_id % 3 = 0) AS BIGINT) AS fwd_packets, round(max(duration_s) FILTER (WHERE flow_id % 3 = 1), 6) AS longest "
+    f"FROM {TF} GROUP BY 1")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowspark.functions import text as X
 from flowspark.plans.queries import _runs, query, rounded
 from flowspark.plans.views import FLOWS, table
 from flowspark.session import shared_folder
+from flowspark.sources.raw_csv import read_raw
 from flowspark.streaming import context as C
 from flowspark.streaming import progress as G
 
@@ -103,3 +105,23 @@ def live_progress(spark, folder):
     planned = made.groupBy("run").agg(F.count("*").alias("n_planned"))
     rows = spark.read.schema(G.ROWS).parquet(f"{base}/rows")
     return rounded(G.progress(rows, planned), ["pct", "elapsed_total", "avg_elapsed", "remaining"], 4)
+
+
+# ---------------------------------------------------------------- raw readers
+
+@query
+def scan_csv_encodings(spark, folder):
+    """Flows as CSV files of two encodings and three headers, read back in one pass in small byte ranges."""
+    base = shared_folder(spark)
+    df = timed_flows(spark, folder).select("flow_id", F.regexp_replace("raw_label", "–", "é").alias("label"), "fwd_pkts", "duration_s")
+    third = F.col("flow_id") % 3
+    spaced = df.where(third == 0).select(F.col("label").alias(" Label"), F.col("flow_id").alias("Flow ID "), F.col("fwd_pkts").alias(" Total Fwd Packets"))
+    swapped = df.where(third == 1).select(F.col("duration_s").alias("Flow Duration"), F.col("flow_id").alias("Flow ID"), F.col("label").alias("Label"))
+    plain = df.where(third == 2).select(F.col("flow_id").alias("Flow ID"), F.col("label").alias("Label"))
+    for part, name, encoding in ((spaced, "a", "UTF-8"), (swapped, "b", "ISO-8859-1"), (plain, "c", "ISO-8859-1")):
+        writer = part.write.option("header", True).option("encoding", encoding).option("ignoreLeadingWhiteSpace", False)
+        writer.option("ignoreTrailingWhiteSpace", False).option("escape", '"').csv(f"{base}/{name}")
+    both = read_raw(spark, f"{base}/*", lambda c: "string" if c == "Label" else "double", split_bytes=1 << 16)
+    return both.groupBy(X.strip(F.col("Label")).alias("label")).agg(
+        F.count("*").alias("n"), F.sum("Flow ID").cast("bigint").alias("ids"), F.sum("Total Fwd Packets").cast("bigint").alias("fwd_packets"),
+        F.round(F.max("Flow Duration"), 6).alias("longest"))

@@ -2,104 +2,42 @@
 
 from __future__ import annotations
 
-import csv
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from flowspark import domains as D
-from flowspark.operators.cleaning import drop_columns, name
+from flowspark.operators.cleaning import drop_columns
+from flowspark.sources.raw_csv import read_raw
 from flowspark.sources.tables import union_all
 
 
-def inspect_files(spark: SparkSession, pattern: str) -> list[tuple[str, str, str]]:
-    """(file, encoding, first line) of every matching file, found in one distributed scan.
-
-    A file is UTF-8 if all its lines are (the text source does not decode), else Latin-1.  Lines
-    of a split keep their order, so the first line is the first one of the first split.
-    """
-    lines = spark.read.text(pattern).select(
-        F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("line"),
-        (F.col("_metadata.file_block_start") == 0).alias("leading"))
-    found = lines.groupBy("file").agg(
-        F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-        F.min_by(F.col("value").cast("binary"), F.when(F.col("leading"), F.col("line"))).alias("first"))
-    result = []
-    for row in found.orderBy("file").collect():
-        encoding = "UTF-8" if row["utf8"] else "ISO-8859-1"
-        result.append((row["file"], encoding, bytes(row["first"]).decode(encoding)))
-    return result
-
-
-def numbered(names: list[str]) -> tuple[str, ...]:
-    """Header names made unique: a name met again (blanks at its ends aside) gets .1, .2 and so on."""
-    seen: dict[str, int] = {}
-    out = []
-    for name_ in names:
-        key = name_.strip()
-        count = seen.get(key, 0)
-        seen[key] = count + 1
-        out.append(f"{name_}.{count}" if count else name_)
-    return tuple(out)
-
-
-def header_groups(spark: SparkSession, pattern: str) -> dict[tuple[str, tuple[str, ...]], list[str]]:
-    """Files by (encoding, column names); files of one group are read together."""
-    grouped: dict[tuple[str, tuple[str, ...]], list[str]] = {}
-    for file, encoding, first in inspect_files(spark, pattern):
-        columns = numbered(next(csv.reader([first.lstrip("\ufeff").rstrip("\r")])))
-        grouped.setdefault((encoding, columns), []).append(file)
-    return grouped
-
-
-def numeric_schema(columns: tuple[str, ...] | list[str], text_columns: set[str]) -> T.StructType:
-    return T.StructType([
-        T.StructField(c, T.StringType() if c.strip().lower() in text_columns else T.DoubleType()) for c in columns])
-
-
 CIC_TEXT = {c.lower() for c in D.CIC_IDENTIFIERS} | {"label"}
 UNSW_TEXT = {"srcip", "sport", "dstip", "dsport", "proto", "service", "state", "attack_cat", "attack_category", "ct_ftp_cmd"}
 
 
 def read_cic(spark: SparkSession, pattern: str) -> DataFrame:
     """All day files of the first dataset: header names trimmed, files with other headers unioned by name."""
-    parts = []
-    for (encoding, columns), files in header_groups(spark, pattern).items():
-        reader = spark.read.option("header", True).option("encoding", encoding).schema(numeric_schema(columns, CIC_TEXT))
-        parts.append(reader.csv(files).toDF(*[c.strip() for c in columns]))
-    if not parts:
-        raise FileNotFoundError(f"no CSV file matches {pattern}")
-    return union_all(parts)
+    return read_raw(spark, pattern, lambda c: "string" if c.lower() in CIC_TEXT else "double")
 
 
 def read_unsw(spark: SparkSession, train: str, test: str) -> DataFrame:
-    """Training and testing files with headers, without their row number.
-
-    Text in numeric columns is kept for the coercion step, so everything is read as text.
-    """
-    parts = []
-    for path in (train, test):
-        df = spark.read.option("header", True).csv(path)
-        parts.append(drop_columns(df, ["id"]))
-    return _numbers_where_plain(union_all(parts))
+    """Training and testing files with headers, without their row number; text in numeric columns becomes null."""
+    return union_all([drop_columns(read_raw(spark, path, _unsw_type), ["id"]) for path in (train, test)])
 
 
-def _numbers_where_plain(df: DataFrame) -> DataFrame:
-    """Cast columns that are numeric by name; text and mixed ones stay text."""
-    return df.withColumns({c: name(c).try_cast("double") for c in df.columns if c.lower() not in UNSW_TEXT})
+def _unsw_type(column: str) -> str:
+    """Columns that are numeric by name are numbers; text and mixed ones stay text."""
+    return "string" if column.lower() in UNSW_TEXT else "double"
 
 
 def read_unsw_numbered(spark: SparkSession, pattern: str, features: str | None = None) -> DataFrame:
     """Header-less files; names come from the ``Name`` column of the features file when the counts agree."""
-    df = spark.read.option("header", False).csv(pattern)
-    if features is not None:
-        encoding = inspect_files(spark, features)[0][1]
-        listed = spark.read.option("header", True).option("encoding", encoding).csv(features)
-        names = [r["Name"].strip() for r in listed.select("Name").collect()]
-        if len(names) == len(df.columns):
-            return _numbers_where_plain(df.toDF(*names))
-    return df
+    if features is None:
+        return read_raw(spark, pattern, header=False)
+    listed = [r["Name"].strip() for r in read_raw(spark, features).select("Name").collect()]
+    named = {len(listed): listed}
+    return read_raw(
+        spark, pattern, lambda c: "string" if c.startswith("_c") else _unsw_type(c), header=False,
+        names=lambda n: named.get(n) or [f"_c{i}" for i in range(n)])
 
 
 # Spellings of the training files -> spellings the describers read.

@@ -1,11 +1,12 @@
 """Inputs as they come: repeated header names, rules with impossible dates, bytes that are no UTF-8."""
 
-from flowspark.sources.flow_csv import numbered, read_cic
+from flowspark.sources.flow_csv import read_cic
+from flowspark.sources.raw_csv import numbered
 from flowspark.sources.knowledge import read_rules
 
 
 def test_repeated_header_names_are_numbered(spark, tmp_path):
-    assert numbered(["a", " a", "b", "a "]) == ("a", " a.1", "b", "a .2")
+    assert numbered(["a", " a", "b", "a "]) == ["a", "a.1", "b", "a.2"]
     (tmp_path / "day.csv").write_text("Flow ID, Fwd Header Length,Label, Fwd Header Length\nx,1,BENIGN,2\n")
     row = read_cic(spark, str(tmp_path / "*.csv")).first().asDict()
     assert (row["Fwd Header Length"], row["Fwd Header Length.1"]) == (1.0, 2.0)
