@@ -49,3 +49,5 @@ ORACLES["scan_csv_encodings"] = (
     f"SELECT {O.strip("replace(raw_label, '–', 'é')")} AS label, count(*) AS n, CAST(sum(flow_id) AS BIGINT) AS ids, "
     "CAST(sum(fwd_pkts) FILTER (WHERE flow_id % 3 = 0) AS BIGINT) AS fwd_packets, round(max(duration_s) FILTER (WHERE flow_id % 3 = 1), 6) AS longest "
     f"FROM {TF} GROUP BY 1")
+ORACLES["stix_split_scan"] = (
+    "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id % 8 ORDER BY doc_id) - 1 AS INT) AS position, source AS name, CAST(length(text) AS INT) AS n_chars, md5(text) AS digest FROM documents")

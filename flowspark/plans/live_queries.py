@@ -9,6 +9,7 @@ from flowspark.functions import text as X
 from flowspark.plans.queries import _runs, query, rounded
 from flowspark.plans.views import FLOWS, table
 from flowspark.session import shared_folder
+from flowspark.sources.knowledge import read_stix
 from flowspark.sources.raw_csv import read_raw
 from flowspark.streaming import context as C
 from flowspark.streaming import progress as G
@@ -125,3 +126,18 @@ def scan_csv_encodings(spark, folder):
     return both.groupBy(X.strip(F.col("Label")).alias("label")).agg(
         F.count("*").alias("n"), F.sum("Flow ID").cast("bigint").alias("ids"), F.sum("Total Fwd Packets").cast("bigint").alias("fwd_packets"),
         F.round(F.max("Flow Duration"), 6).alias("longest"))
+
+
+@query
+def stix_split_scan(spark, folder):
+    """All documents as objects of eight large bundles, each read in many byte ranges."""
+    base = shared_folder(spark)
+    objects = table(spark, folder, "documents").select(
+        (F.col("doc_id") % 8).alias("part"), F.col("doc_id").alias("ord"), F.concat(F.to_json(F.struct(
+            F.col("doc_id").cast("string").alias("id"), F.lit("attack-pattern").alias("type"), F.col("source").alias("name"), F.col("text").alias("description"))), F.lit(",")).alias("value"))
+    ends = spark.range(8).select(F.col("id").alias("part"), F.explode(F.array(
+        F.struct(F.lit(-1).cast("long").alias("ord"), F.lit('{"type": "bundle", "notes": [{"id": "none"}], "objects": [').alias("value")),
+        F.struct(F.lit((1 << 63) - 1).alias("ord"), F.lit('{"id": "last", "type": "identity"}]}').alias("value")))).alias("e")).select("part", "e.*")
+    objects.union(ends).repartition("part").sortWithinPartitions("part", "ord").select("part", "value").write.partitionBy("part").text(base)
+    found = read_stix(spark, f"{base}/*", range_bytes=1 << 18).where("type = 'attack-pattern'")
+    return found.select(F.col("id").cast("long").alias("doc_id"), "position", "name", F.length("description").alias("n_chars"), F.md5("description").alias("digest"))
