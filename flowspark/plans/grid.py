@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowspark import domains as D
+from flowspark.operators.bottom_k import stratified_samples
 from flowspark.operators.bounded import small_side
-from flowspark.operators.evaluation import expand_grid, metrics, ranking
-from flowspark.operators.sampling import count_classes, stratified_sample
+from flowspark.operators.evaluation import expand_grid, metrics
 from flowspark.operators.triage import outcomes
 
 
@@ -19,19 +17,9 @@ def evaluate(records: DataFrame, sizes: tuple[int, ...], seeds: tuple[int, ...],
     """Metrics of every (config, n, seed).
 
     ``records`` carries everything ``outcomes`` reads; the flags of a configuration decide which
-    of it counts.  Sampling looks at keys and labels only; the wide records are read once.
+    of it counts.  One scan of keys and labels samples for all sizes and seeds; the wide records are read once.
     """
-    keys = records.select(key, "label")
-    classes = count_classes(keys)
-    samples = [
-        stratified_sample(keys, n, key, seed=seed, classes=classes).select(key, F.lit(n).alias("n"), F.lit(seed).alias("seed"))
-        for n in sizes for seed in seeds
-    ]
-    chosen = small_side(reduce(lambda a, b: a.unionByName(b), samples))
+    chosen = small_side(stratified_samples(records, sizes, seeds, key))
     grid = expand_grid(records.join(chosen, key), configs)
     results = outcomes(grid, F.col("use_rf"), F.col("two_stage"), keep=("config", "n", "seed"))
     return metrics(results, by=("config", "n", "seed")).withColumnRenamed("avg_elapsed_seconds", "avg_elapsed")
-
-
-def ranked(runs: DataFrame) -> DataFrame:
-    return ranking(runs)

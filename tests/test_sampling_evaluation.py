@@ -105,3 +105,22 @@ def test_run_tag(spark):
     flags = lambda *values: [F.lit(v) for v in values]
     row = spark.range(1).select(E.run_tag(*flags(True, True, False, True, True), F.lit(7), F.lit("20260504_124624")), E.run_tag(*flags(False, True, True, False, False), F.lit(9))).first()
     assert tuple(row) == ("run_20260504_124624_rag_rerank_rf_stratified_n7", "run_norag_2stage_random_n9")
+
+
+@pytest.mark.parametrize("k", [1, 3, 1000])
+def test_bottom_k_takes_the_same_rows_as_flag_first(spark, labelled, k):
+    from flowspark.operators.bottom_k import bottom_k, stratified_samples
+
+    got = bottom_k(labelled.repartition(7), "id", k, (3, 8), "label").collect()
+    for seed in (3, 8):
+        want = S.flag_first(labelled, lambda rows: F.lit(k), "id", seed=seed, strata=("label",)).where("picked")
+        assert sorted(r["id"] for r in got if r["seed"] == seed) == sorted(r["id"] for r in want.collect())
+    ranks = {}
+    for r in got:
+        ranks.setdefault((r["seed"], r["stratum"]), []).append(r["rank"])
+    assert all(sorted(v) == list(range(1, len(v) + 1)) for v in ranks.values())
+    both = stratified_samples(labelled, (k, 50), (3,), "id").collect()
+    for n in {k, 50}:
+        want = {r["id"] for r in S.stratified_sample(labelled, n, "id", seed=3).collect()}
+        assert {r["id"] for r in both if r["n"] == n} == want
+    assert bottom_k(labelled.limit(0), "id", k, (3,), "label").collect() == []
