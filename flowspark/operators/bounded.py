@@ -23,3 +23,9 @@ def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
 def dimension(spark, rows, schema: str) -> DataFrame:
     """A fixed lookup table written in the code; its size is known, so it is broadcast."""
     return F.broadcast(spark.createDataFrame(rows, schema))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than cores, dealt to all cores before costly work on its rows; others as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)

@@ -51,3 +51,15 @@ ORACLES["scan_csv_encodings"] = (
     f"FROM {TF} GROUP BY 1")
 ORACLES["stix_split_scan"] = (
     "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id % 8 ORDER BY doc_id) - 1 AS INT) AS position, source AS name, CAST(length(text) AS INT) AS n_chars, md5(text) AS digest FROM documents")
+
+# ---------------------------------------------------------------- stored index
+
+WORDS = "regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+')"
+ORACLES["lexical_search"] = (
+    f"WITH w AS (SELECT doc_id AS id, {WORDS.format('text')} AS words FROM documents), st AS (SELECT count(*) AS docs, avg(len(words)) AS mean FROM w), "
+    f"tq AS (SELECT DISTINCT item_id AS query_id, unnest({WORDS.format('text')}) AS term FROM benchmark), "
+    "tf AS (SELECT id, len(any_value(words)) AS n, term, count(*) AS tf FROM (SELECT id, words, unnest(words) AS term FROM w) u GROUP BY id, term), "
+    "df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), "
+    "sc AS (SELECT query_id, id, round(sum(ln(1.0 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 12) AS score "
+    "FROM tq JOIN tf USING (term) JOIN df USING (term), st GROUP BY 1, 2) "
+    "SELECT query_id, CAST(rank AS INT) AS rank, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc) r WHERE rank <= 5")

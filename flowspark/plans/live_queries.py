@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.functions import text as X
+from flowspark.operators.bounded import spread
 from flowspark.plans.queries import _runs, query, rounded
 from flowspark.plans.views import FLOWS, table
 from flowspark.session import shared_folder
 from flowspark.sources.knowledge import read_stix
+from flowspark.sources.postings import Postings
 from flowspark.sources.raw_csv import read_raw
 from flowspark.streaming import context as C
 from flowspark.streaming import progress as G
@@ -141,3 +143,13 @@ def stix_split_scan(spark, folder):
     objects.union(ends).repartition("part").sortWithinPartitions("part", "ord").select("part", "value").write.partitionBy("part").text(base)
     found = read_stix(spark, f"{base}/*", range_bytes=1 << 18).where("type = 'attack-pattern'")
     return found.select(F.col("id").cast("long").alias("doc_id"), "position", "name", F.length("description").alias("n_chars"), F.md5("description").alias("digest"))
+
+
+# ---------------------------------------------------------------- stored index
+
+@query
+def lexical_search(spark, folder):
+    """The best documents of every benchmark passage by words alone, from a stored index."""
+    corpus = spread(table(spark, folder, "documents")).select(F.col("doc_id").alias("id"), "text")
+    queries = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    return rounded(Postings.build(corpus, shared_folder(spark)).search(queries, 5), ["score"])

@@ -25,6 +25,7 @@ from flowspark.operators import reduction as B
 from flowspark.operators import retrieval as V
 from flowspark.operators import sampling as S
 from flowspark.operators import summaries as A
+from flowspark.operators.bounded import spread
 from flowspark.operators.triage import confident_benign, outcomes, with_route
 from flowspark.plans import grid, knowledge_build, preprocess, training, triage_run
 from flowspark.plans.views import dirty, flows, labelled, responses, runs, table, wide_flows
@@ -33,6 +34,7 @@ from flowspark.sources import knowledge as K
 from flowspark.sources import tables as T
 from flowspark.sources.collection import Collection
 from flowspark.sources.flow_csv import read_cic
+from flowspark.sources.postings import Postings
 from flowspark.sources.runs import append_summary, read_runs, write_results, write_summary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -533,7 +535,7 @@ def knn_topk(spark, folder):
 
 def _corpus(spark, folder) -> DataFrame:
     """Every document, with a vector of its own text."""
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents")).select(
         F.col("doc_id").alias("id"), "text", "source", F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"), "n_chars",
         X.letter_profile(F.col("text")).alias("embedding"))
 
@@ -574,7 +576,8 @@ def _text_queries(spark, folder) -> DataFrame:
 
 def _text_hits(spark, folder, top_k: int = 5) -> DataFrame:
     queries, corpus = _text_queries(spark, folder), _corpus(spark, folder)
-    return V.retrieve(queries, corpus, top_k=top_k, scorer=V.bm25_scorer(queries, corpus))
+    index = Postings.build(corpus.select("id", "text"), shared_folder(spark))
+    return V.retrieve(queries, corpus, top_k=top_k, scorer=index.scorer(queries))
 
 
 @query
