@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -17,7 +18,7 @@ from flowspark import domains as D
 from flowspark.functions.labels import threat_target
 from flowspark.operators.cleaning import name, numeric_columns
 from flowspark.operators.sampling import sample_n, train_test_split
-from flowspark.session import written
+from flowspark.session import shared_folder, written
 
 
 def safe_features(df: DataFrame, columns: Iterable[str]) -> DataFrame:
@@ -52,12 +53,26 @@ def with_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def train_forest(train: DataFrame, features: list[str], label: str = "label", trees: int = 100, depth: int = 20,
-                 bins: int = 64, seed: int = D.DEFAULT_SEED) -> PipelineModel:
+                 bins: int = 32, seed: int = D.DEFAULT_SEED) -> PipelineModel:
+    """A forest on at most a documented number of rows.
+
+    Every depth is a pass over the rows, so they are dealt to all cores once, as narrow rows in memory; the node that a row has
+    reached is kept per row instead of being found again from the root, and checkpointed in the shared folder.
+    Small groups of nodes per pass keep the statistics of deep, sparse levels small.
+    """
+    context = train.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(train.sparkSession))
     forest = RandomForestClassifier(
         featuresCol="features", labelCol="target", weightCol="weight", numTrees=trees, maxDepth=depth, maxBins=bins,
-        featureSubsetStrategy="sqrt", seed=seed, probabilityCol="probability", maxMemoryInMB=512)
+        featureSubsetStrategy="sqrt", seed=seed, probabilityCol="probability", maxMemoryInMB=256, cacheNodeIds=True, checkpointInterval=10)
     pipeline = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), forest])
-    return pipeline.fit(safe_features(with_weights(train, label), features))
+    rows = safe_features(with_weights(train, label), features).select("target", "weight", *[name(f) for f in features])
+    rows = rows.repartition(context.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return pipeline.fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def feature_list(model: PipelineModel) -> list[str]:

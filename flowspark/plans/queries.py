@@ -729,7 +729,7 @@ def triage_outcome(spark, folder):
 def triage_flow(spark, folder):
     """The whole triage chain: describe, score, retrieve, gate, pack, answer, settle."""
     df = wide_flows(labelled(flows(spark, folder)), keep=("label", *FOREST_FEATURES))
-    records = triage_run.described(df, models=_forests(_forest_input(spark, folder)))
+    records = triage_run.described(df, models=_forests(spark, folder))
     notes = K.class_notes(spark)
     model, collection, _ = knowledge_build.build(notes, shared_folder(spark), dimension=128)
     embed = lambda queries: V.apply_embedder(model, queries)
@@ -854,26 +854,37 @@ def _forest_input(spark, folder) -> DataFrame:
     df = labelled(flows(spark, folder)).select("flow_id", "dataset_source", *FOREST_FEATURES)
     calm = (F.col("syn") < 4) & (F.col("fwd_pkts") < 30)
     noisy = F.when(F.col("flow_id") % 37 == 0, ~calm).otherwise(calm)
-    return written(df.withColumn("label", F.when(noisy, "Benign").otherwise("DoS")))
+    return written(spread(df.withColumn("label", F.when(noisy, "Benign").otherwise("DoS"))))
 
 
-def _forests(df) -> dict:
-    """Models of both datasets, trained, stored and read back."""
-    target = shared_folder(df.sparkSession)
-    models, _ = training.train_all(
-        df, "flow_id", (D.CIC, D.UNSW), FOREST_ROWS, target, features=FOREST_FEATURES)
-    return training.load_all(target, tuple(models))
+_TRAINED: dict[tuple[str, str], tuple[str, list]] = {}  # (application, folder) -> where its models are, and their figures
+
+
+def _trained(spark, folder) -> tuple[str, list]:
+    """Models of both datasets, trained and stored once per application and folder."""
+    place = (spark.sparkContext.applicationId, folder)
+    if place not in _TRAINED:
+        target = shared_folder(spark)
+        models, figures = training.train_all(
+            _forest_input(spark, folder), "flow_id", (D.CIC, D.UNSW), FOREST_ROWS, target, features=FOREST_FEATURES)
+        _TRAINED[place] = target, list(models)
+    return _TRAINED[place]
+
+
+def _forests(spark, folder) -> dict:
+    target, sources = _trained(spark, folder)
+    return training.load_all(target, tuple(sources))
 
 
 @query
 def rf_train(spark, folder):
-    return training.train_all(_forest_input(spark, folder), "flow_id", (D.CIC, D.UNSW), FOREST_ROWS, features=FOREST_FEATURES)[1]
+    return spark.read.json(f"{_trained(spark, folder)[0]}/metrics")
 
 
 @query
 def rf_score(spark, folder):
     df = _forest_input(spark, folder)
-    model = _forests(df)[D.CIC]
+    model = _forests(spark, folder)[D.CIC]
     scored = M.score(df.filter(F.col("dataset_source") == D.CIC), model)
     return scored.select("flow_id", "rf_label", F.round("rf_confidence", 6).alias("rf_confidence"))
 
@@ -882,7 +893,7 @@ def rf_score(spark, folder):
 def rf_route(spark, folder):
     df = _forest_input(spark, folder)
     rerouted = df.withColumn("dataset_source", F.when(F.col("flow_id") % 10 == 0, "OTHER").otherwise(F.col("dataset_source")))
-    scored = M.score_by_source(rerouted, _forests(df))
+    scored = M.score_by_source(rerouted, _forests(spark, folder))
     return scored.groupBy("dataset_source", "rf_label").agg(F.count("*").alias("n"))
 
 
@@ -890,7 +901,7 @@ def rf_route(spark, folder):
 def rf_metrics(spark, folder):
     """Both models together, on the rows that their training left out."""
     df = _forest_input(spark, folder)
-    models = _forests(df)
+    models = _forests(spark, folder)
     splits = [M.holdout_split(df.filter(F.col("dataset_source") == s), "flow_id", sample_size=FOREST_ROWS) for s in models]
     held = reduce(lambda a, b: a.unionByName(b), splits).filter("is_test")
     return M.holdout_metrics(M.score_by_source(held, models))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import PipelineModel
@@ -15,15 +16,18 @@ from flowspark.sources.tables import write_metrics
 def train_all(df: DataFrame, key: str, sources: tuple[str, ...], sample_size: int | None = 200_000,
               target: str | None = None, **forest) -> tuple[dict[str, PipelineModel], DataFrame | None]:
     """Train every dataset that has rows; absent ones are skipped."""
-    models, figures = {}, []
-    for source in sources:
-        part = df.filter(F.col("dataset_source") == source)
-        if part.isEmpty():
-            continue
-        model, metrics = train_dataset(part, key, sample_size=sample_size, **forest)
-        models[source] = model
-        figures.append(metrics.withColumn("dataset", F.lit(source)))
-        if target is not None:
+    parts = {source: df.filter(F.col("dataset_source") == source) for source in sources}
+    present = [source for source in sources if not parts[source].isEmpty()]
+
+    def train(source: str) -> tuple[PipelineModel, DataFrame]:
+        return train_dataset(parts[source], key, sample_size=sample_size, **forest)
+
+    with ThreadPoolExecutor(max(1, len(present))) as pool:  # one job per dataset at a time; Spark shares the cores among them
+        trained = dict(zip(present, pool.map(train, present), strict=True))
+    models = {source: model for source, (model, _) in trained.items()}
+    figures = [metrics.withColumn("dataset", F.lit(source)) for source, (_, metrics) in trained.items()]
+    if target is not None:
+        for source, model in models.items():
             save_model(model, f"{target}/{source}")
     table = reduce(lambda a, b: a.unionByName(b), figures) if figures else None
     if target is not None and table is not None:
