@@ -63,3 +63,8 @@ ORACLES["lexical_search"] = (
     "sc AS (SELECT query_id, id, round(sum(ln(1.0 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 12) AS score "
     "FROM tq JOIN tf USING (term) JOIN df USING (term), st GROUP BY 1, 2) "
     "SELECT query_id, CAST(rank AS INT) AS rank, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc) r WHERE rank <= 5")
+
+# ---------------------------------------------------------------- kept summaries
+
+ORACLES["kept_medians"] = " UNION ALL ".join(
+    f"SELECT CAST({n} AS INT) AS parts, '{c}' AS column_name, median({c}) AS median FROM lineitem WHERE l_orderkey % 3 < {n}" for n in (1, 2, 3) for c in O.NUMBERS)

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.functions import text as X
+from flowspark.operators import kept_medians as K
 from flowspark.operators.bounded import spread
-from flowspark.plans.queries import _runs, query, rounded
+from flowspark.plans.queries import NUMBERS, _runs, query, rounded
 from flowspark.plans.views import FLOWS, table
 from flowspark.session import shared_folder
 from flowspark.sources.knowledge import read_stix
@@ -153,3 +154,17 @@ def lexical_search(spark, folder):
     corpus = spread(table(spark, folder, "documents")).select(F.col("doc_id").alias("id"), "text")
     queries = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
     return rounded(Postings.build(corpus, shared_folder(spark)).search(queries, 5), ["score"])
+
+
+# ---------------------------------------------------------------- kept summaries
+
+@query
+def kept_medians(spark, folder):
+    """Medians after each of three parts has come in; each part is scanned for its sketches once."""
+    path, rows = shared_folder(spark), table(spark, folder, "lineitem")
+    found = []
+    for last in range(3):
+        K.add_part(rows.where(F.col("l_orderkey") % 3 == last), NUMBERS, str(last), path)
+        medians = K.kept_medians(rows.where(F.col("l_orderkey") % 3 <= last), NUMBERS, path)
+        found += [(last + 1, c, m) for c, m in medians.items()]
+    return spark.createDataFrame(found, "parts int, column_name string, median double")
