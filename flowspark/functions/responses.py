@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 
 import pandas as pd
@@ -52,10 +53,19 @@ def repaired(text: str | None) -> str | None:
             value = json.loads(candidate)
         except ValueError:
             continue
-        return None if value is None else json.dumps(value, ensure_ascii=False)
+        return None if value is None else json.dumps(finite(value), ensure_ascii=False)
     return None
 
 
+def finite(value: object) -> object:
+    """``value`` without NaN and Infinity, which JSON proper lacks: a confidence keeps them as text, any other field is 0."""
+    if isinstance(value, dict):
+        return {k: str(v) if k == "confidence" and isinstance(v, float) and not math.isfinite(v) else finite(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [finite(v) for v in value]
+    return 0 if isinstance(value, float) and not math.isfinite(value) else value
+
+
 @F.pandas_udf(T.StringType())
 def _repair(texts: pd.Series) -> pd.Series:
     return texts.map(repaired, na_action="ignore")
@@ -96,6 +106,12 @@ def _text_list(fields: str, name: str) -> Column:
     return F.coalesce(items, F.array().cast("array<string>"))
 
 
+def _keys(fields: str, name: str) -> Column:
+    """The keys of a field that is an object instead of a list, sorted."""
+    is_object = F.col(f"{fields}.{name}_kind").startswith("OBJECT")
+    return F.map_keys(F.from_json(F.when(is_object, F.col(f"{fields}.{name}")), "map<string,string>"))
+
+
 def technique_ids(items: Column) -> Column:
     """First technique id of every item; items without one are dropped."""
     found = F.transform(items, lambda item: F.regexp_extract(item, D.TECHNIQUE_ID_PATTERN, 0))
@@ -122,7 +138,15 @@ def _confidence_error(value: Column, kind: Column) -> Column:
         F.when(kind == "VOID", _missing("confidence"))
         .when(as_number.isNull(), _wrap("confidence_type", value))
         .when(F.isnan(as_number) | (as_number < 0) | (as_number > 1),
-              _wrap("confidence_range", as_number.cast("string")))
+              _wrap("confidence_range", _number_text(as_number)))
+    )
+
+
+def _number_text(value: Column) -> Column:
+    """A double as text; the values that are no numbers in lower case."""
+    return (
+        F.when(F.isnan(value), "nan").when(value == float("inf"), "inf").when(value == float("-inf"), "-inf")
+        .otherwise(value.cast("string"))
     )
 
 
@@ -168,7 +192,7 @@ def normalise_response(df: DataFrame, fields: str = "fields", output: str = "nor
         normalise_attack_type(raw["attack_type"]).alias("attack_type"),
         F.when(absent["severity"], "informational").otherwise(F.lower(raw["severity"])).alias("severity"),
         F.when(absent["confidence"], 0.0).otherwise(scaled_confidence(raw["confidence"].try_cast("double"))).alias("confidence"),
-        technique_ids(_text_list(fields, "mitre_techniques")).alias("mitre_techniques"),
+        technique_ids(F.coalesce(_keys(fields, "mitre_techniques"), _text_list(fields, "mitre_techniques"))).alias("mitre_techniques"),
         F.coalesce(raw["explanation"], F.lit("")).alias("explanation"),
         _text_list(fields, "recommendations").alias("recommendations"),
     ))

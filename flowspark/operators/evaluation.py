@@ -31,35 +31,46 @@ def confusion(df: DataFrame, by: tuple[str, ...] = (), predicted: str = "attack_
     )
 
 
-def metrics(df: DataFrame, by: tuple[str, ...] = (), mode: str = "reference", predicted: str = "attack_type",
-            actual: str = "ground_truth", errors: str = "validation_errors", elapsed: str = "elapsed_seconds") -> DataFrame:
-    """All run figures per group in one pass.
+STATE = ("n_records", "n_known", "n_valid", "n_timed", "elapsed", "n_hit", "n_tp", "n_tn", "n_fp", "n_fn")
+
+
+def metric_state(df: DataFrame, by: tuple[str, ...] = (), mode: str = "reference", predicted: str = "attack_type",
+                 actual: str = "ground_truth", errors: str = "validation_errors", elapsed: str = "elapsed_seconds") -> DataFrame:
+    """Counts and sums per group from which all run figures follow; states of parts add up.
 
     ``reference`` counts failed records as predicted threats; ``valid_only`` leaves them out.
     """
     valid = F.size(errors) == 0
     df = df if mode == "reference" else df.filter(valid)
     p, a = F.col("pred_threat"), F.col("true_threat")
-    complete = F.col("_known") == F.col("n_records")
-    grouped = scored(df, predicted, actual).groupBy(*by).agg(
-        F.count("*").alias("n_records"), F.count(actual).alias("_known"),
-        F.count_if(valid).alias("n_valid"), F.coalesce(F.avg(elapsed), F.lit(0.0)).alias("avg_elapsed_seconds"),
-        F.count_if("is_match").alias("_hit"),
-        F.count_if(p & a).alias("_tp"), F.count_if(~p & ~a).alias("_tn"),
-        F.count_if(p & ~a).alias("_fp"), F.count_if(~p & a).alias("_fn"),
-    )
-    tp, tn, fp, fn = [F.when(complete, F.col(c)) for c in ("_tp", "_tn", "_fp", "_fn")]
+    tests = {"n_valid": valid, "n_hit": F.col("is_match"), "n_tp": p & a, "n_tn": ~p & ~a, "n_fp": p & ~a, "n_fn": ~p & a}
+    return scored(df, predicted, actual).groupBy(*by).agg(
+        F.count("*").alias("n_records"), F.count(actual).alias("n_known"), F.count(elapsed).alias("n_timed"),
+        F.coalesce(F.sum(elapsed), F.lit(0.0)).cast("double").alias("elapsed"), *[F.count_if(test).alias(n) for n, test in tests.items()],
+    ).select(*by, *STATE)
+
+
+def metrics_of(state: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """All run figures of each group's state; null where they need a ground truth that some record lacks."""
+    complete = F.col("n_known") == F.col("n_records")
+    tp, tn, fp, fn = [F.when(complete, F.col(c)) for c in ("n_tp", "n_tn", "n_fp", "n_fn")]
     precision, recall = F.try_divide(tp.cast("double"), tp + fp), F.try_divide(tp.cast("double"), tp + fn)
     f1 = F.coalesce(F.try_divide(2.0 * precision * recall, precision + recall), F.when(complete, 0.0))
-    return grouped.select(
-        *by, "n_records", "n_valid", "avg_elapsed_seconds",
-        _round_ratio(F.when(complete, F.col("_hit")), F.col("n_records")).alias("accuracy_exact"),
+    return state.select(
+        *by, "n_records", "n_valid", F.coalesce(F.try_divide("elapsed", F.col("n_timed")), F.lit(0.0)).alias("avg_elapsed_seconds"),
+        _round_ratio(F.when(complete, F.col("n_hit")), F.col("n_records")).alias("accuracy_exact"),
         _round_ratio(tp + tn, F.col("n_records")).alias("accuracy_binary"),
         F.round(precision, 4).alias("precision"), F.round(recall, 4).alias("recall"), F.round(f1, 4).alias("f1"),
         tp.alias("tp"), tn.alias("tn"), fp.alias("fp"), fn.alias("fn"),
     )
 
 
+def metrics(df: DataFrame, by: tuple[str, ...] = (), mode: str = "reference", predicted: str = "attack_type",
+            actual: str = "ground_truth", errors: str = "validation_errors", elapsed: str = "elapsed_seconds") -> DataFrame:
+    """All run figures per group in one pass."""
+    return metrics_of(metric_state(df, by, mode, predicted, actual, errors, elapsed), by)
+
+
 def run_summary(df: DataFrame, errors: str = "validation_errors") -> DataFrame:
     """Counts by class and by severity plus overall means, as one long table (item, name, n, value)."""
     item = F.explode(F.array(

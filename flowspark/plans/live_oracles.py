@@ -68,3 +68,16 @@ ORACLES["lexical_search"] = (
 
 ORACLES["kept_medians"] = " UNION ALL ".join(
     f"SELECT CAST({n} AS INT) AS parts, '{c}' AS column_name, median({c}) AS median FROM lineitem WHERE l_orderkey % 3 < {n}" for n in (1, 2, 3) for c in O.NUMBERS)
+ORACLES["kept_ranking"] = O.ORACLES["config_ranking"]
+
+# ---------------------------------------------------------------- answers
+
+ORACLES["respond_batches"] = f"SELECT flow_id AS record_key, md5(concat_ws(' ', 'flow', flow_id, proto_number)) AS response, CAST(NULL AS VARCHAR) AS response_error FROM {TF} f"
+RANGE = "'confidence fora do intervalo [0,1]: '"
+EXPLAINED = "CASE WHEN flow_id % 5 = 0 THEN 'explanation ausente ou inválida' END"
+ORACLES["odd_answers"] = (
+    f"SELECT flow_id, concat_ws('|', CASE flow_id % 6 WHEN 0 THEN {RANGE} || 'nan' WHEN 4 THEN {RANGE} || 'nan' WHEN 1 THEN {RANGE} || 'inf' WHEN 2 THEN {RANGE} || '-inf' WHEN 5 THEN {RANGE} || '150.0' END, "
+    f"CASE WHEN flow_id % 4 IN (0, 2) THEN 'mitre_techniques deve ser uma lista' END, {EXPLAINED}) AS raw_errors, "
+    "CASE flow_id % 6 WHEN 0 THEN 'NaN' WHEN 4 THEN 'NaN' WHEN 1 THEN 'Infinity' WHEN 2 THEN '-Infinity' WHEN 3 THEN '0.5' ELSE '1.5' END AS confidence, "
+    "CASE flow_id % 4 WHEN 0 THEN 'T1046|T1498.001' WHEN 1 THEN 'T1046' WHEN 2 THEN '' ELSE 'T1110' END AS techniques, "
+    f"concat_ws('|', CASE flow_id % 6 WHEN 0 THEN {RANGE} || 'nan' WHEN 4 THEN {RANGE} || 'nan' WHEN 1 THEN {RANGE} || 'inf' WHEN 2 THEN {RANGE} || '-inf' WHEN 5 THEN {RANGE} || '1.5' END, {EXPLAINED}) AS errors FROM {TF} f")

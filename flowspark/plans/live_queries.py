@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowspark.functions import responses as P
 from flowspark.functions import text as X
+from flowspark.operators import evaluation as E
 from flowspark.operators import kept_medians as K
+from flowspark.operators import kept_metrics as N
+from flowspark.operators import responder as R
 from flowspark.operators.bounded import spread
 from flowspark.plans.queries import NUMBERS, _runs, query, rounded
 from flowspark.plans.views import FLOWS, table
@@ -168,3 +174,55 @@ def kept_medians(spark, folder):
         medians = K.kept_medians(rows.where(F.col("l_orderkey") % 3 <= last), NUMBERS, path)
         found += [(last + 1, c, m) for c, m in medians.items()]
     return spark.createDataFrame(found, "parts int, column_name string, median double")
+
+
+GROUPS = "config string, dataset_source string, k int"
+
+
+@query
+def kept_ranking(spark, folder):
+    """Configurations ranked from kept run figures: one run comes in two batches, one is wrong at first and replaced."""
+    path, by = shared_folder(spark), ("config", "dataset_source", "k")
+    made = _runs(spark, folder)
+    part = lambda r: made.where(F.col("k") % 3 == r)
+    for half in range(2):
+        N.add_results(part(0).where(F.col("flow_id") % 2 == half), path, "first", f"b{half}", by)
+    N.add_results(part(1), path, "second", "b0", by)
+    N.add_results(part(2).withColumn("attack_type", F.lit("Benign")), path, "third", "b0", by)
+    N.replace_run(part(2), path, "third", by)
+    return E.ranking(N.kept_metrics(spark, path, GROUPS).withColumnRenamed("avg_elapsed_seconds", "avg_elapsed"))
+
+
+# ---------------------------------------------------------------- answers
+
+def digests(prompts: list[str]) -> list[str]:
+    return [hashlib.md5(p.encode()).hexdigest() for p in prompts]
+
+
+@query
+def respond_batches(spark, folder):
+    """Every flow's prompt answered once, by a stand-in for a model, in a run that stops half-way and goes on."""
+    prompts = timed_flows(spark, folder).select(F.col("flow_id").alias("record_key"), F.concat_ws(" ", F.lit("flow"), "flow_id", "proto_number").alias("prompt"))
+    path = shared_folder(spark)
+    R.answer(prompts, path, digests, only_slices=3)
+    found = R.answer(prompts, path, digests)
+    return found.select("record_key", "response", "response_error")
+
+
+ODD = """
+SELECT flow_id, CASE flow_id % 6 WHEN 0 THEN 'NaN' WHEN 1 THEN 'Infinity' WHEN 2 THEN '-Infinity' WHEN 3 THEN '0.5' WHEN 4 THEN '"NaN"' ELSE '150' END AS shown,
+ concat('{{"attack_type": "DDoS", "severity": "high", "confidence": ', CASE flow_id % 6 WHEN 0 THEN 'NaN' WHEN 1 THEN 'Infinity' WHEN 2 THEN '-Infinity' WHEN 3 THEN '0.5' WHEN 4 THEN '"NaN"' ELSE '150' END,
+  ', "mitre_techniques": ', CASE flow_id % 4 WHEN 0 THEN '{{"T1046": "scan", "T1498.001 flood": 1, "none": 0}}' WHEN 1 THEN '["T1046"]' WHEN 2 THEN '{{}}' ELSE '[NaN, "T1110"]' END,
+  ', "explanation": ', CASE flow_id % 5 WHEN 0 THEN 'NaN' ELSE '"text"' END, ', "recommendations": []}}') AS response
+FROM {flows} f
+"""
+
+
+@query
+def odd_answers(spark, folder):
+    """Answers with NaN, Infinity and an object where a list belongs."""
+    answers = P.parse(spark.sql(ODD, flows=timed_flows(spark, folder)))
+    done = P.normalise_response(answers).select(
+        "flow_id", F.array_join(P.validation_errors(), "|").alias("raw_errors"), F.col("normalised.confidence").cast("string").alias("confidence"),
+        F.array_join("normalised.mitre_techniques", "|").alias("techniques"), F.array_join("normalised.validation_errors", "|").alias("errors"))
+    return done
