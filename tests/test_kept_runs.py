@@ -38,37 +38,35 @@ def test_state_adds_up(spark, results, tmp_path):
     assert again == {"c0": 60, "c1": 60}
 
 
-class Flaky:
+def flaky(good: bool):
     """Fails for prompts with a 9 until it is told better."""
-
-    def __init__(self, good: bool) -> None:
-        self.good = good
-
-    def __call__(self, prompts: list[str]) -> list[str]:
-        if not self.good and any("9" in p for p in prompts):
+    def respond(prompts: list[str]) -> list[str]:
+        if not good and any("9" in p for p in prompts):
             raise TimeoutError("no answer")
         return [p.upper() for p in prompts]
 
+    return respond
+
 
 def test_answers_are_resumed(spark, tmp_path):
     path = str(tmp_path / "a")
     requests = spark.range(200).selectExpr("id as record_key", "concat('p', id) as prompt").repartition(3)
-    part = R.answer(requests, path, Flaky(True), only_slices=4, slices=8)
+    part = R.answer(requests, path, flaky(True), only_slices=4, slices=8)
     assert 0 < part.count() < 200
-    whole = R.answer(requests, path, Flaky(True), slices=8).collect()
+    whole = R.answer(requests, path, flaky(True), slices=8).collect()
     assert sorted(r["record_key"] for r in whole) == list(range(200)) and all(r["response"] == f"P{r['record_key']}" for r in whole)
     assert R.answered(requests, path).count() == 200  # each key was stored once
-    assert R.answer(requests, path, Flaky(False)).count() == 200  # nothing is open, so nothing fails
+    assert R.answer(requests, path, flaky(False)).count() == 200  # nothing is open, so nothing fails
 
 
 def test_failures_are_bounded_and_asked_again(spark, tmp_path):
     path = str(tmp_path / "a")
     requests = spark.range(40).selectExpr("cast(id as string) as record_key", "cast(id as string) as prompt")
-    first = {r["record_key"]: r for r in R.answer(requests, path, Flaky(False), batch_size=1, attempts=2).collect()}
+    first = {r["record_key"]: r for r in R.answer(requests, path, flaky(False), batch_size=1, attempts=2).collect()}
     failed = {k for k, r in first.items() if r["response_error"]}
     assert failed == {"9", "19", "29", "39"} and first["9"]["attempts"] == 2 and first["9"]["response_error"] == "TimeoutError: no answer" and first["8"]["attempts"] == 1
-    assert {r["record_key"] for r in R.answer(requests, path, Flaky(True)).collect() if r["response_error"]} == failed
-    again = R.answer(requests, path, Flaky(True), again=True).collect()
+    assert {r["record_key"] for r in R.answer(requests, path, flaky(True)).collect() if r["response_error"]} == failed
+    again = R.answer(requests, path, flaky(True), again=True).collect()
     assert len(again) == 40 and all(r["response"] == r["record_key"] and r["response_error"] is None for r in again)
 
 
