@@ -8,15 +8,15 @@ over all windows of ``size`` bytes, so each such window holds at least one, chos
   whatever their number, and are one class.
 * Only classes with different contexts around the same k-gram are compared byte by byte: the suffixes
   at their anchors are sorted by deep-shallow sorting, equal prefixes of neighbours form the
-  intervals of the suffix order, and in each interval the same sort of the reversed left contexts
-  gives the longest match on both sides.  Matches of ``size`` bytes or more are the coverage.
+  intervals of the suffix order.  The reversed left contexts are sorted once, and in each interval the
+  neighbours in that order give the longest match on both sides.  Matches of ``size`` bytes or more are the coverage.
 * Coverage comes back to documents by the keys of classes; no document's text meets another's.
 
 A class's task holds the distinct contexts of one k-gram (at most 2 * ``size`` bytes each).
 
-Nulls and edge cases: a null text is empty; a text shorter than ``size`` keeps everything; repeated rows
-(same doc_id and text) are copies of each other, and each gets its result; rows without doc_id keep
-their texts and are no source of matches; other columns are ignored; an empty table gives an empty result.
+Nulls and edge cases: a null text is empty; a text shorter than ``size`` keeps everything; rows are told apart by a hash of
+doc_id and text, so rows with one doc_id and other texts, and rows without doc_id, are sources of matches and get their own
+results; repeated rows (same doc_id and text) are copies of each other; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.llm.common import Rolling, longs, mixed, slices, stored
@@ -73,9 +73,9 @@ def _anchor_task(size: int, gram: int) -> Callable:
                 if (found := _anchors(part, size, gram)) is not None:
                     row, at, grams, context, left, right = found
                     yield pa.record_batch(
-                        [batch["doc_id"].take(pa.array(row + part.first)), pa.array(at.astype(np.int32)), longs(grams), longs(context),
+                        [batch["key"].take(pa.array(row + part.first)), pa.array(at.astype(np.int32)), longs(grams), longs(context),
                          pa.array(left.astype(np.int16)), pa.array(right.astype(np.int16))],
-                        ["doc_id", "at", "gram", "context", "l", "r"],
+                        ["key", "at", "gram", "context", "l", "r"],
                     )
 
     return task
@@ -128,6 +128,23 @@ def _intervals(prefix: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def _least_of(values: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """least(a, b): the least of values[a + 1 .. b] for places a < b, from minima over powers of two."""
+    levels = [values.astype(np.int16)]
+    while 2 << (len(levels) - 1) <= len(values):
+        half = 1 << (len(levels) - 1)
+        levels.append(np.minimum(levels[-1][:-half], levels[-1][half:]))
+    starts = np.cumsum([0, *map(len, levels[:-1])])
+    table = np.concatenate(levels)
+
+    def least(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        a, b = np.minimum(a, b) + 1, np.maximum(a, b)  # of rows of two groups the answer is not used
+        level = np.frexp((b - a + 1).astype(float))[1] - 1
+        return np.minimum(table[starts[level] + a], table[starts[level] + b - (1 << level) + 1]).astype(np.int64)
+
+    return least
+
+
 def matches(grams: np.ndarray, before: tuple, after: tuple, size: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Longest match to the left and right of each row with any other row of its k-gram, where both together reach ``size``."""
     (left, left_length), (right, right_length) = before, after
@@ -135,6 +152,11 @@ def matches(grams: np.ndarray, before: tuple, after: tuple, size: int, gram: int
     prefix = common_prefixes(grams, right, right_length, order)
     best_left, best_right = np.zeros(len(grams), np.int64), np.zeros(len(grams), np.int64)
     found = _intervals(prefix, gram)
+    # left contexts are sorted once; the common length of any two is the least one between them in that order
+    left_order = suffix_order(grams, left, left_length)
+    least = _least_of(common_prefixes(grams, left, left_length, left_order))
+    rank = np.empty(len(grams), np.int64)
+    rank[left_order] = np.arange(len(grams))
     by_depth: dict[int, list[tuple[int, int]]] = {}
     for first, last, depth in found:
         by_depth.setdefault(depth, []).append((first, last))
@@ -147,14 +169,14 @@ def matches(grams: np.ndarray, before: tuple, after: tuple, size: int, gram: int
         rows, group = rows[chosen], group[chosen]
         if len(rows) < 2:
             continue
-        inner = suffix_order(group, left[rows], left_length[rows])
-        common = common_prefixes(group, left[rows], left_length[rows], inner)
-        longest = common.copy()
-        longest[:-1] = np.maximum(longest[:-1], common[1:])
+        inner = np.argsort(group * len(grams) + rank[rows])
+        rows, group = rows[inner], group[inner]
+        longest = np.zeros(len(rows), np.int64)
+        longest[1:] = np.where(group[1:] == group[:-1], least(rank[rows[:-1]], rank[rows[1:]]), 0)
+        longest[:-1] = np.maximum(longest[:-1], longest[1:])
         hit = longest >= need
-        found_rows = rows[inner[hit]]
-        best_left[found_rows] = np.maximum(best_left[found_rows], longest[hit])
-        best_right[found_rows] = np.maximum(best_right[found_rows], depth)
+        best_left[rows[hit]] = np.maximum(best_left[rows[hit]], longest[hit])
+        best_right[rows[hit]] = np.maximum(best_right[rows[hit]], depth)
     return best_left, best_right
 
 
@@ -219,29 +241,34 @@ def _keep_task(spans: bool) -> Callable:
     return task
 
 
+def row_key() -> Column:
+    """Tells rows apart; rows that share it are equal, and so are their results."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key")
+
+
 def coverage(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """(doc_id, start, end): byte ranges whose union is what is removed."""
-    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    anchors = texts.where(F.octet_length("text") >= size).mapInArrow(_anchor_task(size, gram), "doc_id long, at int, gram long, context long, l short, r short")
+    """(key, start, end): byte ranges whose union is what is removed; ``key`` is that of :func:`row_key`."""
+    texts = docs.where("text IS NOT NULL").select(row_key(), "text")
+    anchors = texts.where(F.octet_length("text") >= size).mapInArrow(_anchor_task(size, gram), "key long, at int, gram long, context long, l short, r short")
     kinds = anchors.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("x"), F.max("context").alias("y")).where("n > 1").select("gram", (F.col("x") == F.col("y")).alias("single"))
     again = stored(anchors.join(kinds, "gram"))
     several = again.where("NOT single")
-    classes = several.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at", "l", "r")).alias("one"))
-    wanted = classes.groupBy(F.col("one.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("one.at", "one.l", "one.r", "gram", "context")).alias("wanted"))
+    classes = several.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "at", "l", "r")).alias("one"))
+    wanted = classes.groupBy(F.col("one.key").alias("key")).agg(F.collect_list(F.struct("one.at", "one.l", "one.r", "gram", "context")).alias("wanted"))
     contexts = (
-        texts.join(wanted, "doc_id").groupBy("doc_id").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted")).select("text", "wanted")
+        texts.join(wanted, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted")).select("text", "wanted")
         .mapInArrow(_context_task(size, gram), "gram long, context long, before binary, after binary")
     )
     matched = contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(_match_task(size, gram), "gram long, context long, l short, r short")
     equal = classes.where("n > 1").select("gram", "context", F.col("one.l").alias("l"), F.col("one.r").alias("r")).where(F.expr(f"l + r >= {size}"))
     reach = matched.union(equal).groupBy("gram", "context").agg(F.max("l").alias("ml"), F.max("r").alias("mr"))
-    spans = again.where(f"single AND l + r >= {size}").select("doc_id", F.expr("at - l").alias("start"), F.expr("at + r").alias("end"))
-    return spans.union(several.join(reach, ["gram", "context"]).select("doc_id", F.expr("at - ml").alias("start"), F.expr("at + mr").alias("end")))
+    spans = again.where(f"single AND l + r >= {size}").select("key", F.expr("at - l").alias("start"), F.expr("at + r").alias("end"))
+    return spans.union(several.join(reach, ["gram", "context"]).select("key", F.expr("at - ml").alias("start"), F.expr("at + mr").alias("end")))
 
 
 def cleaned(docs: DataFrame, size: int = SIZE, gram: int = GRAM, spans: bool = False) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the removed ranges if asked for."""
-    found = coverage(docs, size, gram).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(found, "doc_id", "left").mapInArrow(
+    found = coverage(docs, size, gram).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key()).join(found, "key", "left").drop("key").mapInArrow(
         _keep_task(spans), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<long>"
     )
