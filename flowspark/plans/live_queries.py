@@ -148,7 +148,7 @@ def stix_split_scan(spark, folder):
         F.struct(F.lit(-1).cast("long").alias("ord"), F.lit('{"type": "bundle", "notes": [{"id": "none"}], "objects": [').alias("value")),
         F.struct(F.lit((1 << 63) - 1).alias("ord"), F.lit('{"id": "last", "type": "identity"}]}').alias("value")))).alias("e")).select("part", "e.*")
     objects.union(ends).repartition("part").sortWithinPartitions("part", "ord").select("part", "value").write.partitionBy("part").text(base)
-    found = read_stix(spark, f"{base}/*", range_bytes=1 << 18).where("type = 'attack-pattern'")
+    found = read_stix(spark, f"{base}/*").where("type = 'attack-pattern'")
     return found.select(F.col("id").cast("long").alias("doc_id"), "position", "name", F.length("description").alias("n_chars"), F.md5("description").alias("digest"))
 
 

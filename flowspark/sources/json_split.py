@@ -21,14 +21,14 @@ from pyspark.sql import functions as F
 from flowspark.session import written
 from flowspark.sources.raw_csv import listed, open_file
 
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 4 << 20
 AHEAD_BYTES = 1 << 16
 LOOK_BACK = 1 << 12
 QUOTE, BACKSLASH = ord('"'), ord("\\")
 STEP = np.zeros(256, dtype=np.int64)
 STEP[[ord("{"), ord("[")]] = 1
 STEP[[ord("}"), ord("]")]] = -1
-ROWS = "file int, start long, at long, kind string, body string"
+ROWS = "file int, start long, at long, kind string, segment int, place int, body string"
 
 
 def settled(file: pa.NativeFile, at: int, size: int) -> int:
@@ -112,16 +112,20 @@ def _object_task(key: bytes, depth_of_array: int = 1):
                 opening = data[at] == ord("[")
                 back = min(LOOK_BACK, start + at)
                 wanted = opening and _is_key(file.read_at(back, start + at - back), key)
-                out.append((start + at, "wanted" if wanted else "other" if opening else "end", None))
+                out.append((start + at, "wanted" if wanted else "other" if opening else "end", None, None, None))
             stops = closes[np.searchsorted(closes, opens, side="right").clip(max=max(len(closes) - 1, 0))] if len(closes) else opens
-            for at, stop in zip(opens.tolist(), stops.tolist(), strict=True):
+            # an object's place in its part of an array: parts begin with the range and with each array
+            segments = np.searchsorted(lists[data[lists] == ord("[")], opens)
+            places = np.arange(len(opens)) - np.searchsorted(segments, segments)
+            for at, stop, segment, place in zip(opens.tolist(), stops.tolist(), segments.tolist(), places.tolist(), strict=True):
                 if at < within and stop > at:  # an object that the document's end cuts off is none
-                    out.append((start + at, "object", data[at : stop + 1].tobytes().decode("utf-8", "replace")))
+                    out.append((start + at, "object", segment, place, data[at : stop + 1].tobytes().decode("utf-8", "replace")))
         for k in range(0, len(out), 1000):
             part = out[k : k + 1000]
             yield pa.record_batch(
                 [pa.array([r["file"]] * len(part), pa.int32()), pa.array([r["start"]] * len(part), pa.int64()), pa.array([p[0] for p in part], pa.int64()),
-                 pa.array([p[1] for p in part]), pa.array([p[2] for p in part], pa.string())], ["file", "start", "at", "kind", "body"])
+                 pa.array([p[1] for p in part]), pa.array([p[2] for p in part], pa.int32()), pa.array([p[3] for p in part], pa.int32()),
+                 pa.array([p[4] for p in part], pa.string())], ["file", "start", "at", "kind", "segment", "place", "body"])
 
     return task
 
@@ -155,7 +159,9 @@ def array_objects(spark: SparkSession, pattern: str, key: str, range_bytes: int
     arrays = F.array(*[F.struct(*[F.lit(x).cast("long").alias(n) for x, n in zip(b, ("file", "low", "high"), strict=True)]) for b in bounds]) if bounds else None
     inside = F.exists(arrays, lambda b: (b["file"] == F.col("file")) & (F.col("at") > b["low"]) & (F.col("at") < b["high"])) if bounds else F.lit(False)
     kept = found.where((F.col("kind") == "object") & inside)
-    counts = kept.groupBy("file", "start").agg(F.count("*").alias("n"))
-    before = counts.select("file", "start", (F.sum("n").over(Window.partitionBy("file").orderBy("start")) - F.col("n")).alias("before"))
-    place = F.row_number().over(Window.partitionBy("file", "start").orderBy("at")) - 1
-    return kept.withColumn("place", place).join(before, ["file", "start"]).select("file", (F.col("before") + F.col("place")).cast("int").alias("position"), "body")
+    counts = kept.groupBy("file", "start", "segment").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("file").orderBy("start", "segment")
+    before = counts.select("file", "start", "segment", (F.sum("n").over(order) - F.col("n")).alias("before"))
+    # a row per range and array, of which the driver has listed more above; so no object is shuffled
+    placed = kept.join(F.broadcast(before), ["file", "start", "segment"])
+    return placed.select("file", (F.col("before") + F.col("place")).cast("int").alias("position"), "body")
