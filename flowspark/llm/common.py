@@ -6,8 +6,9 @@ their bounds.  A null text is an empty one.  No document is ever cut.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES = 1 << 20
+ROWS_A_TASK, FEW_TASKS = 1 << 15, 8
 WORD = r"[^\x20\x09-\x0D]+"
 
 _BASE = 0x9E3779B97F4A7C15
@@ -38,6 +40,29 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def narrow(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in no more partitions than ``rows`` rows need: its operators run in few tasks instead of many empty ones.
+
+    Partitions are merged and nothing is shuffled; where there are fewer already, nothing changes.
+    """
+    return df.coalesce(max(FEW_TASKS, -(-rows // ROWS_A_TASK)))
+
+
+def frugal(task: Callable) -> Callable:
+    """``task`` that gives its memory back to the system when it ends, since workers stay for later stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def mixed(values: np.ndarray, salt: int = 0) -> np.ndarray:
     """A well-mixed copy of 64-bit values."""
     x = values.astype(np.uint64, copy=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import stored
+from flowspark.llm.common import narrow, stored
 
 _MAX_ROUNDS = 60
 
@@ -20,27 +20,30 @@ def _star(edges: DataFrame, key: str, other: str) -> DataFrame:
     return edges.join(low, key)
 
 
+def _settled(edges: DataFrame, rows: int) -> bool:
+    """Whether only stars are left: each ``u`` has one ``v``, and no ``v`` is a ``u``."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).union(edges.select("v", F.lit(0)))
+    sides = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.count("*").alias("links"))
+    return narrow(sides, rows).where("ups > 0 AND links > 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges(a, b)``: component is the smallest node reachable.
 
-    Each round is written to the shared folder; only a count and a checksum come to the driver.
+    Each round is written to the shared folder; only a count and whether it was the last come to the driver.
     """
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
+    rows = now.count()  # no round makes more
     for _ in range(_MAX_ROUNDS):
+        if _settled(now, rows):
+            break
         # large star: every larger neighbour of u goes to u's smallest neighbour (or u itself)
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both, "u", "v").where("v > u").select(F.col("v").alias("u"), F.least("u", "low").alias("v")).distinct()
+        large = _star(both, "u", "v").where("v > u").select(F.col("v").alias("u"), F.least("u", "low").alias("v"))
         # small star: u and its smaller neighbours go to the smallest of them
-        small = _star(large, "u", "v")
-        now = stored(
-            small.where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-            .union(small.select("u", F.col("low").alias("v"))).distinct()
-        )
-        found = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        if found == state:
-            break
-        state = found
+        small = _star(narrow(narrow(large, rows).distinct(), rows), "u", "v")
+        moved = small.where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v")).union(small.select("u", F.col("low").alias("v")))
+        now = stored(narrow(narrow(moved, rows).distinct(), rows))
     else:
         raise RuntimeError(f"components did not settle in {_MAX_ROUNDS} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(

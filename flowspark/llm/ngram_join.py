@@ -13,11 +13,12 @@ Two documents link when ``den * |A and B| >= num * |A or B|`` for their sets of
   the list's smallest node only; then, where members are still in different components, those are
   joined on the list, pruned by size and by an exact lower bound on the difference of two sets
   (parity bitmaps).  Pairs already connected are skipped, as they cannot change a component.
+* Intermediate tables are counted and take the partitions that their rows need.
 * Every candidate is verified on the whole texts.
 
 Nulls and edge cases: a null or blank text has no shingles and links with nothing; fewer than n words
-are one shingle; a null doc_id is never linked; repeated rows are one node and get one result each;
-other columns are ignored.  An empty table gives an empty result.
+are one shingle; a null doc_id is never linked; repeated rows are one node and get one result each, and
+rows that repeat a doc_id with another text are judged by their own text; other columns are ignored.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,10 +28,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import LOWER, Rolling, longs, mixed, slices, stored
+from flowspark.llm.common import LOWER, SLICE_BYTES, Rolling, frugal, longs, mixed, narrow, slices, stored
 from flowspark.llm.components import components
 
 CELLS = 1 << 22
@@ -106,7 +108,7 @@ def _frequent(docs: DataFrame, n: int) -> np.ndarray:
     size is fixed by ``MAX_FREQUENT``.
     """
     rows = (
-        docs.select("text").mapInArrow(_frequent_task(n), "cell long, seen long")
+        docs.select("text").mapInArrow(frugal(_frequent_task(n)), "cell long, seen long")
         .groupBy("cell").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "cell").limit(MAX_FREQUENT).toArrow()
     )
     levels = np.zeros(CELLS, np.uint8)
@@ -115,7 +117,7 @@ def _frequent(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def _set_task(rule: Rule, levels: np.ndarray) -> Callable:
-    """Rows (doc_id, n_shingles, node, prefix, p0..): node is a hash of the whole set."""
+    """Rows (doc_id, key, n_shingles, node, prefix, p0..): node is a hash of the whole set."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,8 +142,8 @@ def _set_task(rule: Rule, levels: np.ndarray) -> Callable:
                 np.bitwise_xor.at(wide, (place, ((hashes[own] >> np.uint64(16)) & np.uint64(WIDE - 1)).astype(np.int64)), np.uint64(1) << ((hashes[own] >> np.uint64(24)) & np.uint64(63)))
                 maps = iter(wide)
                 yield pa.record_batch(
-                    [batch["doc_id"].slice(first, count), longs(sizes), longs(node), prefix, pa.array([next(maps).tobytes() if x else None for x in large], pa.binary()), *(longs(bits[:, i]) for i in range(PARITY))],
-                    ["doc_id", "n_shingles", "node", "prefix", "wide", *(f"p{i}" for i in range(PARITY))],
+                    [batch["doc_id"].slice(first, count), batch["key"].slice(first, count), longs(sizes), longs(node), prefix, pa.array([next(maps).tobytes() if x else None for x in large], pa.binary()), *(longs(bits[:, i]) for i in range(PARITY))],
+                    ["doc_id", "key", "n_shingles", "node", "prefix", "wide", *(f"p{i}" for i in range(PARITY))],
                 )
 
     return task
@@ -200,11 +202,22 @@ def _signature_task(rule: Rule, cut: int) -> Callable:
     return task
 
 
+def _pieces(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The pairs of a batch in runs of at most ``rows`` pairs and about ``SLICE_BYTES`` of text; a longer pair is a run of its own."""
+    length = sum((pc.fill_null(pc.binary_length(batch[c]), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("text_a", "text_b")), np.zeros(batch.num_rows, np.int64))
+    ends = np.cumsum(length)
+    at = 0
+    while at < batch.num_rows:
+        fit = int(np.searchsorted(ends, ends[at] - length[at] + SLICE_BYTES, "right"))
+        end = min(max(fit, at + 1), at + rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _verify_task(rule: Rule) -> Callable:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                few = batch.slice(at, 256)
+            for few in _pieces(batch):
                 sides = []
                 for side in ("text_a", "text_b"):
                     own = [(rows + first, hashes) for first, _, rows, hashes in _shingle_sets(few[side], rule.n)]
@@ -231,11 +244,15 @@ def _may_link(rule: Rule) -> F.Column:
 def _close_task(rule: Rule) -> Callable:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint64).reshape(-1, WIDE) for c in ("wide_a", "wide_b"))
+            keep = np.ones(batch.num_rows, bool)
+            both = np.flatnonzero(pc.and_(batch["wide_a"].is_valid(), batch["wide_b"].is_valid()).to_numpy(zero_copy_only=False))
+            if len(both):
+                few = batch.take(pa.array(both))
+                a, b = (np.frombuffer(b"".join(few[c].to_pylist()), np.uint64).reshape(-1, WIDE) for c in ("wide_a", "wide_b"))
                 apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
-                total = batch["n_a"].to_numpy() + batch["n_b"].to_numpy()
-                yield batch.select(["a", "b"]).filter(pa.array(apart * (rule.den + rule.num) <= total * (rule.den - rule.num)))
+                total = few["n_a"].to_numpy() + few["n_b"].to_numpy()
+                keep[both] = apart * (rule.den + rule.num) <= total * (rule.den - rule.num)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return task
 
@@ -244,83 +261,91 @@ def _close(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     """``pairs(a, b)`` without those of large sets whose wide bitmaps prove them apart."""
     large = nodes.where("wide IS NOT NULL")
     side = lambda x: large.select(F.col("node").alias(x), F.col("wide").alias(f"wide_{x}"), F.col("n_shingles").alias(f"n_{x}"))
-    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    proven = "wide_a IS NOT NULL AND wide_b IS NOT NULL"
-    return both.where(proven).mapInArrow(_close_task(rule), "a long, b long").union(both.where(f"NOT ({proven})").select("a", "b"))
+    return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").mapInArrow(_close_task(rule), "a long, b long")
 
 
-def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without most of those whose doc_id is not in ``ids``, before anything is shuffled.
+def _marked(rows: DataFrame, column: str, kept: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``column`` is not in ``kept``, before anything is shuffled.
 
-    One bit per hashed id, 64 to a row: the broadcast has at most MARKS / 64 rows whatever the input.
-    Many ids fill it and it then lets more documents through, never fewer.
+    One bit per hashed value, 64 to a row: the broadcast has at most MARKS / 64 rows whatever the input.
+    Many values fill it and it then lets more rows through, never fewer.
     """
-    place = f"pmod(xxhash64(doc_id), {MARKS})"
+    place = f"pmod(xxhash64({column}), {MARKS})"
     word, bit = F.expr(f"{place} div 64"), F.expr(f"shiftleft(1L, cast({place} % 64 AS int))")
-    marks = ids.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
-    return docs.join(F.broadcast(marks), (word == F.col("word")) & (F.col("bits").bitwiseAND(bit) != 0), "left_semi")
+    marks = kept.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return rows.join(F.broadcast(marks), (word == F.col("word")) & (F.col("bits").bitwiseAND(bit) != 0), "left_semi")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, text): rows with one key have the same id and text, and a repeated id with another text has another key."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"), "text")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     """The links among candidate pairs (a, b); only texts of nodes in pairs are written for the joins."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node"))
-    own = _marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids)
-    texts = stored(own.join(ids, "doc_id").dropDuplicates(["node"]).select("node", "text"))
+    ends = narrow(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 2 * (count := pairs.count()))
+    ids = stored(narrow(ends.join(nodes.select("node", "doc_id", "key"), "node"), 2 * count))
+    own = _marked(_keyed(docs), "key", ids)
+    texts = stored(own.join(ids, ["doc_id", "key"]).dropDuplicates(["node"]).select("node", "text"))
     side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify_task(rule), "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(frugal(_verify_task(rule)), "a long, b long")
 
 
 def sets(docs: DataFrame, rule: Rule) -> DataFrame:
     """One row per document, written once: its set's size, node, prefix and parity bits."""
     parity = ", ".join(f"p{i} long" for i in range(PARITY))
     levels = _frequent(docs, rule.n)
-    return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_set_task(rule, levels), f"doc_id long, n_shingles long, node long, prefix array<long>, wide binary, {parity}"))
+    return stored(_keyed(docs).mapInArrow(frugal(_set_task(rule, levels)), f"doc_id long, key long, n_shingles long, node long, prefix array<long>, wide binary, {parity}"))
 
 
 def links(docs: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
-    """Links between nodes: enough of them to give every component, each one verified."""
+    """Links between nodes: enough of them to give every component, each one verified.
+
+    Those of large lists come as stars, (node, smallest node of its component).
+    """
     parity = [f"p{i}" for i in range(PARITY)]
-    one = F.min_by(F.struct("doc_id", "n_shingles", "prefix", "wide", *parity), "doc_id").alias("one")  # combines before the shuffle
-    nodes = stored(found.where("n_shingles > 1 AND doc_id IS NOT NULL").groupBy("node").agg(one).select("node", "one.*"))
+    one = F.min_by(F.struct("doc_id", "key", "n_shingles", "prefix", "wide", *parity), "key").alias("one")  # combines before the shuffle
+    nodes = stored(narrow(found.where("n_shingles > 1 AND doc_id IS NOT NULL").groupBy("node").agg(one), found.count()).select("node", "one.*"))
     cut = _boundary(nodes, rule)
-    signatures = nodes.select("node", "n_shingles", "prefix").mapInArrow(_signature_task(rule, cut), "sig long, node long")
-    shared = signatures.groupBy("sig").agg(F.min("node").alias("center"), F.max("node").alias("top")).where("center < top").select("sig", "center")
-    members = stored(signatures.join(shared, "sig").select("sig", "node", "center"))
+    signatures = nodes.select("node", "n_shingles", "prefix").mapInArrow(frugal(_signature_task(rule, cut)), "sig long, node long")
+    shared = stored(signatures.groupBy("sig").agg(F.min("node").alias("center"), F.max("node").alias("top")).where("center < top").select("sig", "center"))
+    members = stored(_marked(signatures, "sig", shared).join(shared, "sig").select("sig", "node", "center"))
     attributes = nodes.select("node", "n_shingles", *parity)
+    rows = members.count()
 
-    stars = members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = stored(
+    stars = narrow(members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), rows)
+    pairs = narrow(
         stars.alias("s").join(attributes.alias("a"), F.col("s.a") == F.col("a.node")).join(attributes.alias("b"), F.col("s.b") == F.col("b.node"))
-        .where(_may_link(rule)).select("s.a", "s.b")
+        .where(_may_link(rule)).select("s.a", "s.b"), rows
     )
-    pairs = stored(_close(pairs, nodes, rule))
-    near = stored(_verified(pairs, docs, nodes, rule))
+    pairs = stored(narrow(_close(pairs, nodes, rule), rows))
+    grouped = stored(components(_verified(pairs, docs, nodes, rule)))
 
-    grouped = components(near)
     placed = members.join(grouped, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
     torn = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig")
-    apart = stored(placed.join(torn, "sig", "left_semi"))
+    apart = stored(narrow(placed.join(torn, "sig", "left_semi"), rows))
     # a pair that meets on many lists is made once: not where both know a common list that comes before
     low = apart.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, FIRST_LISTS).alias("low"))
-    rest = stored(apart.join(attributes, "node").join(low, "node"))
+    rest = stored(narrow(apart.join(attributes, "node").join(low, "node"), rows))
     before = F.exists("a.low", lambda x: (x < F.col("a.sig")) & F.array_contains(F.col("b.low"), x))
     far = (
         rest.alias("a").join(rest.alias("b"), (F.col("a.sig") == F.col("b.sig")) & (F.col("a.component") < F.col("b.component")) & _may_link(rule) & ~before)
         .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
     )
     tried = pairs.union(pairs.select(F.col("b"), F.col("a")))
-    open_pairs = stored(far.join(tried, ["a", "b"], "left_anti"))
-    more = _verified(stored(_close(open_pairs, nodes, rule)), docs, nodes, rule)
-    return near.union(more)
+    more = _verified(stored(_close(far.join(tried, ["a", "b"], "left_anti"), nodes, rule)), docs, nodes, rule)
+    return grouped.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
 
 
 def joined(docs: DataFrame, rule: Rule) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included)."""
     found = sets(docs, rule)
     grouped = components(links(docs, found, rule))
+    rows = found.count()
     by_node = found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     placed = by_node.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     named = placed.join(least, "component").select("node", "component_id")
+    named = narrow(named, rows)
     own = found.select("doc_id", "n_shingles", F.expr("CASE WHEN n_shingles > 0 AND doc_id IS NOT NULL THEN node END").alias("node"))
     return own.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
