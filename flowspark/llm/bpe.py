@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowspark.llm.common import frugal
+
 CACHE_WORDS = 1_000_000
 _NONE = np.int64(1) << 40
 
@@ -261,4 +263,4 @@ def encoded(docs: DataFrame, path: str, real: bool = False) -> DataFrame:
     names = {r.split(" ")[0] for r in results}
     source = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in names))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "text"), *results])
-    return source.mapInArrow(_task(path, real), schema)
+    return source.mapInArrow(frugal(_task(path, real)), schema)

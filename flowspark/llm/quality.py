@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import IS_WORD, Rolling, Slice, longs, mixed, repeated, slices, stored
+from flowspark.llm.common import IS_WORD, Rolling, Slice, frugal, longs, mixed, repeated, slices, stored
 
 BUCKETS = 1 << 14
 SAMPLE = 20_000
@@ -128,7 +128,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarr
     labelled = F.broadcast(_labelled(labels, sample).where("good AND fit").select("doc_id", "fit"))
     counts = (
         docs.select("doc_id", "text").join(labelled, "doc_id", "left").select("text", "fit")
-        .mapInArrow(_count_task, "bucket long, raw long, trusted long").groupBy("bucket").agg(F.sum("raw"), F.sum("trusted")).collect()
+        .mapInArrow(frugal(_count_task), "bucket long, raw long, trusted long").groupBy("bucket").agg(F.sum("raw"), F.sum("trusted")).collect()
     )
     raw, trusted = np.ones(BUCKETS), np.ones(BUCKETS)
     for bucket, r, t in counts:
@@ -147,7 +147,7 @@ def threshold(docs: DataFrame, labels: DataFrame, ratio: np.ndarray, sample: int
     fit = F.broadcast(_labelled(labels, sample).where("good AND fit").select("doc_id"))
     held = _labelled(labels).select("doc_id", "good").join(fit, "doc_id", "left_anti")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in COUNTS) + ", score double"
-    scores = docs.select("doc_id", "text").mapInArrow(_score_task(ratio, False), schema).where(~base_failed()).select("doc_id", "score")
+    scores = docs.select("doc_id", "text").mapInArrow(frugal(_score_task(ratio, False)), schema).where(~base_failed()).select("doc_id", "score")
     rows = stored(scores.join(held, "doc_id").select("good", "score"))
     good = rows.where("good").withColumn("key", F.round(F.col("score") * 1e9).cast("long"))
     n = good.count()
@@ -181,6 +181,6 @@ def judged(docs: DataFrame, labels: DataFrame, text: bool = True, sample: int =
     source = docs.select(*(c for c in docs.columns if c not in (*COUNTS, "score", "base_failed", "kept")))
     fields = [f for f in source.schema.fields if text or f.name != "text"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(f"{c} long" for c in COUNTS), "score double"])
-    scored = source.mapInArrow(_score_task(ratio, text), schema)
+    scored = source.mapInArrow(frugal(_score_task(ratio, text)), schema)
     failed = base_failed()
     return scored.withColumns({"base_failed": failed, "kept": ~failed & (F.col("score") >= F.lit(cut))})
