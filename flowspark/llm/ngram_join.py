@@ -10,9 +10,11 @@ Two documents link when ``den * |A and B| >= num * |A or B|`` for their sets of
   their prefix into inverted lists; a pair with a heavy set shares a list.  The boundary is the
   size at which all subsets and list entries together are estimated to cost least.
 * A list or subset with many sets is not expanded into pairs: first every member is compared with
-  the list's smallest node only; then, where members are still in different components, those are
-  joined on the list, pruned by size and by an exact lower bound on the difference of two sets
-  (parity bitmaps).  Pairs already connected are skipped, as they cannot change a component.
+  the list's smallest node only, which then leaves the list, as all its pairs are settled; then, where
+  other members are still in different components, those are joined on the list, pruned by size and by
+  an exact lower bound on the difference of two sets (parity bitmaps).  Pairs already connected are skipped,
+  as they cannot change a component.  Where a node has many such pairs, a few of each node are
+  verified first, and those that this connects are skipped too.
 * Intermediate tables are counted and take the partitions that their rows need.
 * Every candidate is verified on the whole texts.
 
@@ -40,6 +42,8 @@ MAX_FREQUENT = 1 << 18
 PARITY = 8
 WIDE, WIDE_FROM = 128, 800  # words of the wide bitmap, and the set size from which on there is one
 FIRST_LISTS = 8
+MANY_PAIRS = 8  # pairs per node from which on they are verified in turns
+FEW_PAIRS, TURNS = 4, 8  # pairs of a node in a turn, and turns before all that is left
 MARKS = 1 << 24  # bits of the table that tells which texts have a candidate
 _BIN = 1.1
 
@@ -298,6 +302,13 @@ def sets(docs: DataFrame, rule: Rule) -> DataFrame:
     return stored(_keyed(docs).mapInArrow(frugal(_set_task(rule, levels)), f"doc_id long, key long, n_shingles long, node long, prefix array<long>, wide binary, {parity}"))
 
 
+def _some(pairs: DataFrame, turn: int) -> tuple[DataFrame, bool]:
+    """At most ``FEW_PAIRS`` of the pairs of every node on either side, and whether all pairs are many times the nodes."""
+    by = lambda own, other: pairs.groupBy(own, F.pmod(F.xxhash64(other, F.lit(turn)), F.lit(FEW_PAIRS))).agg(F.min(other).alias(other)).select("a", "b")
+    ends = pairs.agg(F.count("*").alias("pairs"), F.count_distinct("a").alias("a"), F.count_distinct("b").alias("b")).first()
+    return by("a", "b").union(by("b", "a")).distinct(), ends["pairs"] > MANY_PAIRS * (ends["a"] + ends["b"])
+
+
 def links(docs: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
     """Links between nodes: enough of them to give every component, each one verified.
 
@@ -321,7 +332,7 @@ def links(docs: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
     pairs = stored(narrow(_close(pairs, nodes, rule), rows))
     grouped = stored(components(_verified(pairs, docs, nodes, rule)))
 
-    placed = members.join(grouped, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
+    placed = members.where("node <> center").join(grouped, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
     torn = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig")
     apart = stored(narrow(placed.join(torn, "sig", "left_semi"), rows))
     # a pair that meets on many lists is made once: not where both know a common list that comes before
@@ -333,8 +344,17 @@ def links(docs: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
         .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
     )
     tried = pairs.union(pairs.select(F.col("b"), F.col("a")))
-    more = _verified(stored(_close(far.join(tried, ["a", "b"], "left_anti"), nodes, rule)), docs, nodes, rule)
-    return grouped.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
+    far = stored(_close(far.join(tried, ["a", "b"], "left_anti"), nodes, rule))
+    known = lambda: grouped.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    for turn in range(TURNS):
+        few, many = _some(far, turn)
+        if not many:
+            break
+        grouped = stored(components(known().union(_verified(stored(few), docs, nodes, rule))))
+        side = lambda x: grouped.select(F.col("node").alias(x), F.col("component").alias(f"component_{x}"))  # noqa: E731, B023
+        open_ = far.join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(component_a, a) <> coalesce(component_b, b)")
+        far = stored(open_.join(few, ["a", "b"], "left_anti").select("a", "b"))
+    return known().union(_verified(far, docs, nodes, rule))
 
 
 def joined(docs: DataFrame, rule: Rule) -> DataFrame:

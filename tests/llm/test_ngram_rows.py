@@ -85,3 +85,27 @@ def test_components(spark, kind):
     touched = {i for a, b in linked if a != b for i in (a, b)}
     least = {r: min(name[i] for i in range(200) if roots[i] == r) for r in set(roots)}
     assert got == {name[i]: least[roots[i]] for i in touched}
+
+
+def test_pairs_of_near_copies_are_verified_in_turns(spark, monkeypatch):
+    """Many near copies whose list has no member that links to all: the links found are few per node, the groups exact."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(130)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for _ in range(2):
+            words[rng.randrange(130)] = f"x{i}_{rng.randrange(9)}"
+        rows.append((i, " ".join(words)))
+    rows.append((400, " ".join(base)))
+    verified = []
+    whole = ngram_join._verified
+
+    def counted(pairs, *rest):
+        verified.append(pairs.count())
+        return whole(pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "_verified", counted)
+    found = ngram_join.joined(spark.createDataFrame(rows, "doc_id long, text string"), ngram_join.Rule(5, 80, 100))
+    assert sorted((tuple(r) for r in found.collect()), key=str) == plain(rows, 5, 80)
+    assert sum(verified) <= 30 * len(rows), verified
