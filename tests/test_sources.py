@@ -208,3 +208,23 @@ def test_partitioned_table_prunes_files(spark, tmp_path):
     T.write_unified(flows(spark, 30), str(tmp_path))
     plan = spark.read.parquet(str(tmp_path)).filter(F.col("dataset_source") == D.CIC).select("signal")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(dataset_source" in plan and "ReadSchema: struct<signal:double>" in plan
+
+
+def test_rules_are_read_by_many_tasks_and_as_the_python_parser_reads_them(spark, monkeypatch):
+    yaml = pytest.importorskip("yaml")
+    texts = ["title: a\nid: 1", "title: [unclosed", "title: a\nlogsource:\tb", "title: !", "a: [b?:c]", "title: >#\n  x", "- - a", "date: 2020-99-99"]
+    slow, calls = yaml.safe_load, []
+    monkeypatch.setattr(yaml, "safe_load", lambda text: calls.append(text) or slow(text))
+
+    def outcome(read, text):
+        try:
+            return repr(read(text))
+        except yaml.YAMLError:
+            return "not YAML"
+        except ValueError as problem:
+            return repr(problem)
+
+    assert [outcome(K._load_yaml, t) for t in texts] == [outcome(slow, t) for t in texts]
+    assert texts[0] not in calls or not yaml.__with_libyaml__
+    one = spark.createDataFrame([("p", t) for t in texts], "path string, content string").coalesce(1)
+    assert K.parse_rules(one).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
