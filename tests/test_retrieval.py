@@ -136,3 +136,24 @@ def test_unpaired_vector_is_an_error(spark):
     vecs = spark.createDataFrame([(1, [1.0])], "id int, embedding array<float>")
     with pytest.raises(Exception, match="do not pair"):
         V.zip_embeddings(docs, vecs).collect()
+
+
+def test_a_task_holds_few_distances(monkeypatch):
+    """A batch of many corpus rows is folded in pieces, and the hits are those of the whole batch."""
+    import numpy as np
+    import pandas as pd
+
+    random = np.random.default_rng(3)
+    frame = lambda n: pd.DataFrame({"_id": range(n), "_v": list(random.random((n, 4)))})
+    held, corpus, cells = frame(50), frame(20_000), []
+    whole = V._block_nearest
+
+    def counted(q, c, *rest):
+        cells.append(len(q) * len(c))
+        return whole(q, c, *rest)
+
+    expected = whole(held, corpus, 3, "q", "id").sort_values(["q", "distance", "id"]).to_numpy().tolist()
+    monkeypatch.setattr(V, "_block_nearest", counted)
+    found = pd.concat(V._fold_corpus(held, 3, "q", "id")([corpus])).sort_values(["q", "distance", "id"])
+    assert found.to_numpy().tolist() == expected
+    assert max(cells) <= V.FOLD_CELLS
