@@ -226,5 +226,6 @@ def test_rules_are_read_by_many_tasks_and_as_the_python_parser_reads_them(spark,
 
     assert [outcome(K._load_yaml, t) for t in texts] == [outcome(slow, t) for t in texts]
     assert texts[0] not in calls or not yaml.__with_libyaml__
+    assert K._rule_record(None) == {"error": "malformed: AttributeError"}
     one = spark.createDataFrame([("p", t) for t in texts], "path string, content string").coalesce(1)
     assert K.parse_rules(one).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
