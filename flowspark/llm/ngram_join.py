@@ -13,8 +13,9 @@ Two documents link when ``den * |A and B| >= num * |A or B|`` for their sets of
   the list's smallest node only, which then leaves the list, as all its pairs are settled; then, where
   other members are still in different components, those are joined on the list, pruned by size and by
   an exact lower bound on the difference of two sets (parity bitmaps).  Pairs already connected are skipped,
-  as they cannot change a component.  Where a node has many such pairs, a few of each node are
-  verified first, and those that this connects are skipped too.
+  as they cannot change a component.  Where a random slice of such pairs shows that all are more than the
+  nodes, slices of about half as many pairs as nodes are made and verified in turns, each after those that
+  the turns before connect are skipped; then all that are left are made.
 * Intermediate tables are counted and take the partitions that their rows need.
 * Every candidate is verified on the whole texts.
 
@@ -25,6 +26,7 @@ rows that repeat a doc_id with another text are judged by their own text; other
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -44,6 +46,7 @@ WIDE, WIDE_FROM = 128, 800  # words of the wide bitmap, and the set size from wh
 FIRST_LISTS = 8
 MANY_PAIRS = 8  # pairs per node from which on they are verified in turns
 FEW_PAIRS, TURNS = 4, 8  # pairs of a node in a turn, and turns before all that is left
+COMPARED = 8  # pairs per row of the torn lists that are compared to tell how many pairs all have
 MARKS = 1 << 24  # bits of the table that tells which texts have a candidate
 _BIN = 1.1
 
@@ -309,6 +312,36 @@ def _some(pairs: DataFrame, turn: int) -> tuple[DataFrame, bool]:
     return by("a", "b").union(by("b", "a")).distinct(), ends["pairs"] > MANY_PAIRS * (ends["a"] + ends["b"])
 
 
+def _both(pairs: DataFrame) -> DataFrame:
+    return pairs.union(pairs.select(F.col("b"), F.col("a")))
+
+
+def _torn(members: DataFrame, grouped: DataFrame, rows: int) -> DataFrame:
+    """(sig, node, component) of the lists whose nodes are in more than one component."""
+    placed = members.join(grouped, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
+    torn = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig")
+    return stored(narrow(placed.join(torn, "sig", "left_semi"), rows))
+
+
+def _placed(apart: DataFrame, attributes: DataFrame) -> DataFrame:
+    """Rows of torn lists with their nodes' attributes and first lists."""
+    low = apart.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, FIRST_LISTS).alias("low"))
+    return apart.join(attributes, "node").join(low, "node")
+
+
+def _far(rest: DataFrame, rule: Rule, slices: int = 1, turn: int = 0) -> DataFrame:
+    """Pairs (a, b) of ``rest`` that share a list, are in different components and may link: all, or a random one in ``slices``.
+
+    Nodes are dealt into classes, and a slice joins each class with one other (or itself), so only its own pairs are compared.
+    """
+    place = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(slices))
+    a, b = rest.withColumn("class", place).alias("a"), rest.withColumn("class", F.pmod(-place, F.lit(slices))).alias("b")
+    # a pair that meets on many lists is made once: not where both know a common list that comes before
+    before = F.exists("a.low", lambda x: (x < F.col("a.sig")) & F.array_contains(F.col("b.low"), x))
+    one = (F.col("a.sig") == F.col("b.sig")) & (F.col("a.class") == F.col("b.class")) & (F.col("a.component") < F.col("b.component"))
+    return a.join(b, one & _may_link(rule) & ~before).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+
+
 def links(docs: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
     """Links between nodes: enough of them to give every component, each one verified.
 
@@ -332,19 +365,22 @@ def links(docs: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
     pairs = stored(narrow(_close(pairs, nodes, rule), rows))
     grouped = stored(components(_verified(pairs, docs, nodes, rule)))
 
-    placed = members.where("node <> center").join(grouped, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
-    torn = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig")
-    apart = stored(narrow(placed.join(torn, "sig", "left_semi"), rows))
-    # a pair that meets on many lists is made once: not where both know a common list that comes before
-    low = apart.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, FIRST_LISTS).alias("low"))
-    rest = stored(narrow(apart.join(attributes, "node").join(low, "node"), rows))
-    before = F.exists("a.low", lambda x: (x < F.col("a.sig")) & F.array_contains(F.col("b.low"), x))
-    far = (
-        rest.alias("a").join(rest.alias("b"), (F.col("a.sig") == F.col("b.sig")) & (F.col("a.component") < F.col("b.component")) & _may_link(rule) & ~before)
-        .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-    )
-    tried = pairs.union(pairs.select(F.col("b"), F.col("a")))
-    far = stored(_close(far.join(tried, ["a", "b"], "left_anti"), nodes, rule))
+    members, tried = members.where("node <> center").select("sig", "node"), pairs
+    for turn in range(TURNS + 1):
+        apart = _torn(members, grouped, rows)
+        rest = stored(narrow(_placed(apart, attributes), rows))
+        places, compared = apart.groupBy("sig").agg(F.count("*").alias("n")).agg(F.sum("n"), F.sum(F.col("n").cast("double") ** 2) / 2).first()
+        slices = math.ceil(compared / (COMPARED * places)) if places else 1
+        if slices == 1 or turn == TURNS:
+            break
+        ends, expected = rest.select("node").distinct().count(), _far(rest, rule, slices, turn).count() * slices
+        if expected <= ends:
+            break
+        few = _far(rest, rule, min(slices, math.ceil(2 * expected / ends)), turn).join(_both(tried), ["a", "b"], "left_anti")
+        few = stored(narrow(_close(few, nodes, rule), rows))
+        tried = tried.union(few)
+        grouped = stored(components(grouped.select(F.col("node").alias("a"), F.col("component").alias("b")).union(_verified(few, docs, nodes, rule))))
+    far = stored(_close(_far(rest, rule).join(_both(tried), ["a", "b"], "left_anti"), nodes, rule))
     known = lambda: grouped.select(F.col("node").alias("a"), F.col("component").alias("b"))
     for turn in range(TURNS):
         few, many = _some(far, turn)

@@ -110,3 +110,26 @@ def test_pairs_of_near_copies_are_verified_in_turns(spark, monkeypatch):
     found = ngram_join.joined(spark.createDataFrame(rows, "doc_id long, text string"), ngram_join.Rule(5, 80, 100))
     assert sorted((tuple(r) for r in found.collect()), key=str) == plain(rows, 5, 80)
     assert len(verified) > 2 and sum(verified) <= 30 * len(rows), verified
+
+
+def test_pairs_of_a_large_group_are_not_all_made(spark, monkeypatch):
+    """Far pairs come in slices: those in a group of near copies grow with its nodes, not with their square."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(130)]
+    rows = []
+    for i in range(600):
+        words = list(base)
+        for _ in range(2):
+            words[rng.randrange(130)] = f"x{i}_{rng.randrange(9)}"
+        rows.append((i, " ".join(words)))
+    made = []
+    whole = ngram_join._close
+
+    def counted(pairs, *rest):
+        made.append(pairs.count())
+        return whole(pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "_close", counted)
+    found = ngram_join.joined(spark.createDataFrame(rows, "doc_id long, text string"), ngram_join.Rule(5, 80, 100))
+    assert sorted((tuple(r) for r in found.collect()), key=str) == plain(rows, 5, 80)
+    assert sum(made) <= 15 * len(rows), made
