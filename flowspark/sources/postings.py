@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,6 +57,26 @@ def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield full()
 
 
+def _block_task(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """(query, id, score) from a block's postings and queries: a query's k best, and what equals the last but for rounding."""
+
+    def task(postings: pa.Table, wanted: pa.Table) -> pa.Table:
+        wanted = wanted.drop_columns("block").sort_by("term")
+        wanted = wanted.append_column("place", pa.array(np.arange(len(wanted))))
+        met = wanted.join(postings.drop_columns("block"), "term", join_type="inner", use_threads=False)
+        met = met.take(pa.array(np.argsort(met["place"].to_numpy(), kind="stable")))  # parts are added by term, so that copies tie in any block
+        parts = met.append_column("part", pc.multiply(met["idf"], met["impact"])).group_by(["query", "id"], use_threads=False).aggregate([("part", "sum")])
+        ranked = parts.sort_by([("query", "ascending"), ("part_sum", "descending")]).combine_chunks()
+        scores, query = ranked["part_sum"].to_numpy(), pc.dictionary_encode(ranked["query"]).combine_chunks().indices.to_numpy()
+        starts = np.flatnonzero(np.diff(query, prepend=-1))
+        length = np.diff(np.append(starts, len(query)))
+        kth = np.repeat(scores[starts + np.minimum(length, k) - 1], length)
+        kept = ranked.filter(pa.array(scores >= kth - 1e-9))
+        return pa.table([kept["query"], kept["id"], kept["part_sum"]], ["query", "id", "score"])
+
+    return task
+
+
 class Postings:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
@@ -127,17 +149,24 @@ class Postings:
         most = self._table("blocks", asked).select("bucket", "term", "block", "most")
         return asked.join(most, ["bucket", "term"]).groupBy("query", "block").agg((F.sum(F.col("idf") * F.col("most")) * (1 + 1e-9)).alias("bound"))
 
-    def _scores(self, asked: DataFrame, blocks: DataFrame) -> DataFrame:
-        """Full scores of the documents of some (query, block) pairs."""
-        wanted = asked.join(blocks.select("query", "block"), "query")
-        found = self._table("postings", asked).select("bucket", "term", "block", "id", "impact").join(wanted, ["bucket", "term", "block"])
-        return found.groupBy("query", "id").agg(F.sum(F.col("idf") * F.col("impact")).alias("score"))
+    def _scores(self, asked: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+        """Full scores of the documents of some (query, block) pairs, for each query those that may be among its k best.
+
+        Postings of the terms asked for meet their queries block by block, and a block has a bounded number of documents: what is
+        shuffled are these postings once, whatever the number of queries, and the few scores left of each block.
+        """
+        wanted = asked.join(blocks.select("query", "block"), "query").select("block", "query", "term", "idf")
+        terms = small_side(asked.select("bucket", "term").distinct())
+        found = self._table("postings", asked).join(terms, ["bucket", "term"], "left_semi").join(blocks.select("block").distinct(), "block", "left_semi")
+        schema = T.StructType([asked.schema["query"], T.StructField("id", self.id_type), T.StructField("score", T.DoubleType())])
+        by_block = found.select("block", "term", "id", "impact").groupBy("block").cogroup(wanted.groupBy("block"))
+        return by_block.applyInArrow(_block_task(k), schema)
 
     def probes(self, queries: DataFrame, k: int = 10, query_id: str = "query_id", query_text: str = "query_text") -> tuple[DataFrame, DataFrame, DataFrame]:
         """(terms asked, scores of the first blocks, blocks still to be probed) of a search."""
         asked = self._asked(queries, query_id, query_text)
         bounds = written(self._bounds(asked).withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("bound"), "block"))))
-        first = written(self._scores(asked, bounds.where(F.col("place") <= FIRST_BLOCKS)))
+        first = written(self._scores(asked, bounds.where(F.col("place") <= FIRST_BLOCKS), k))
         rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))
         kth = first.withColumn("rank", rank).where(F.col("rank") == k).select("query", F.col("score").alias("kth"))
         open_ = bounds.where(F.col("place") > FIRST_BLOCKS).join(kth, "query", "left").where(F.col("bound") >= F.coalesce("kth", F.lit(0.0)))
@@ -146,6 +175,6 @@ class Postings:
     def search(self, queries: DataFrame, k: int = 10, query_id: str = "query_id", corpus_id: str = "id", query_text: str = "query_text") -> DataFrame:
         """The k best documents of every query by BM25, ties by id; documents without a term of the query are no hits."""
         asked, first, open_ = self.probes(queries, k, query_id, query_text)
-        both = first.unionByName(self._scores(asked, open_)).withColumn("score", F.round("score", 12))  # so that equal scores tie
+        both = first.unionByName(self._scores(asked, open_, k)).withColumn("score", F.round("score", 12))  # so that equal scores tie
         rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
         return both.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("query").alias(query_id), "rank", F.col("id").alias(corpus_id), "score")

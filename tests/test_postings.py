@@ -72,3 +72,19 @@ def test_scorer_equals_the_direct_one_and_reads_no_text(spark, index, texts):
 def test_nothing_to_index(spark, tmp_path):
     empty = Postings.build(spark.createDataFrame([], "id long, text string"), f"{tmp_path}/p")
     assert empty.search(spark.createDataFrame([(1, "a")], "query_id int, query_text string")).collect() == []
+
+
+def test_a_block_leaves_its_best_only(spark, index):
+    """What a search keeps of a block does not grow with the documents that hold the query's words."""
+    queries = spark.createDataFrame([(1, "w0 w1 w2"), (2, "w0 w3")], "query_id int, query_text string")
+    _, first, _ = index.probes(queries, 1)
+    assert 2 <= first.count() <= 8  # two blocks of about 16 documents for either query, nearly all of which hold w0
+
+
+def test_copies_tie_in_any_block(spark, tmp_path):
+    rng = random.Random(9)
+    text = " ".join(f"v{rng.randrange(90)}" for _ in range(200))
+    rows = [(f"d{i:03}", text if i % 3 else " ".join(rng.choices(text.split(), k=40))) for i in range(90)]
+    index = Postings.build(spark.createDataFrame(rows, "id string, text string"), f"{tmp_path}/p", block_docs=10)
+    got = index.search(spark.createDataFrame([("q", text)], "query_id string, query_text string"), 7).collect()
+    assert [r["id"] for r in sorted(got, key=lambda r: r["rank"])] == [i for i, t in rows if t == text][:7]
