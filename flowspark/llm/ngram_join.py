@@ -7,8 +7,12 @@ Two documents link when ``den * |A and B| >= num * |A or B|`` for their sets of
   Sets that link share at least k shingles within their first ``n - ceil(t*n) + k`` (prefix).
 * Light sets (below the boundary) enumerate the 2-subsets of their prefix; two light sets that link
   share a subset.  Heavy sets, and light ones that are large enough to link with a heavy one, put
-  their prefix into inverted lists; a pair with a heavy set shares a list.  The boundary is the
+  their prefix into inverted lists, with k about half the number of shingles that a linked set may
+  lack; a pair with a heavy set shares as many lists as the k of its smaller set.  The boundary is the
   size at which all subsets and list entries together are estimated to cost least.
+* A heavy set that shares fewer lists, with whomever, than its smallest possible partner asks for links
+  with nothing and leaves before any pair is made; sets that have a few passages in common leave so.
+  The others leave out one list less than that smallest partner asks for, their longest ones.
 * A list or subset with many sets is not expanded into pairs: first every member is compared with
   the list's smallest node only, which then leaves the list, as all its pairs are settled; then, where
   other members are still in different components, those are joined on the list, pruned by size and by
@@ -33,7 +37,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.llm.common import LOWER, SLICE_BYTES, Rolling, frugal, longs, mixed, narrow, slices, stored
@@ -46,7 +50,8 @@ WIDE, WIDE_FROM = 128, 800  # words of the wide bitmap, and the set size from wh
 FIRST_LISTS = 8
 MANY_PAIRS = 8  # pairs per node from which on they are verified in turns
 FEW_PAIRS, TURNS = 4, 8  # pairs of a node in a turn, and turns before all that is left
-COMPARED = 8  # pairs per row of the torn lists that are compared to tell how many pairs all have
+COMPARED = 32  # pairs per row of the torn lists that are compared to tell how many pairs all have
+SIGNED = 1024  # nodes whose signatures are made at once
 MARKS = 1 << 24  # bits of the table that tells which texts have a candidate
 _BIN = 1.1
 
@@ -63,6 +68,19 @@ class Rule:
         """The least intersection of a set of this size with any partner."""
         return -(-size * self.num // self.den)
 
+    def short(self, size: np.ndarray) -> np.ndarray:
+        """The prefix in which linked sets share two shingles."""
+        return np.where(size > 1, np.minimum(size, size - self.least(size) + 2), 0)
+
+    def lists(self, size: np.ndarray) -> np.ndarray:
+        """The k of a set's lists: it grows with the size, and no partner has fewer shingles in common."""
+        least = self.least(size)
+        return np.maximum(1, np.minimum(least, 1 + (size - least) // 2))
+
+    def listed(self, size: np.ndarray) -> np.ndarray:
+        """The prefix that goes into lists: linked sets share as many shingles there as the smaller set's ``lists``."""
+        return np.where(size > 1, np.minimum(size, size - self.least(size) + self.lists(size)), 0)
+
     def linked(self, a: np.ndarray, b: np.ndarray, both: np.ndarray) -> np.ndarray:
         return self.den * both >= self.num * (a + b - both)
 
@@ -136,7 +154,7 @@ def _set_task(rule: Rule, levels: np.ndarray) -> Callable:
                 node = mixed(sums[bounds[1:]] - sums[bounds[:-1]] + sizes.astype(np.uint64), 12)
                 order = np.lexsort((hashes, levels[_cell(hashes)], rows))
                 ordered = hashes[order]
-                length = np.where(sizes > 1, np.minimum(sizes, sizes - rule.least(sizes) + 2), 0)
+                length = np.maximum(rule.short(sizes), rule.listed(sizes))
                 starts = np.cumsum(length) - length
                 take = np.arange(length.sum()) - np.repeat(starts, length) + np.repeat(bounds[:-1], length)
                 prefix = pa.ListArray.from_arrays(pa.array(np.append(starts, length.sum()).astype(np.int32)), longs(ordered[take]))
@@ -162,37 +180,39 @@ def _boundary(nodes: DataFrame, rule: Rule) -> int:
     Sizes are gathered into bins that grow by a tenth, so a few hundred rows reach the driver.
     """
     bins = {
-        int(_BIN**b): (rows, entries)
-        for b, rows, entries in nodes.where("n_shingles > 1").groupBy(F.floor(F.log("n_shingles") / np.log(_BIN)).alias("b"))
-        .agg(F.count("*"), F.sum(F.size("prefix") - 1)).collect()
+        int(_BIN**b): (rows, short, entries)
+        for b, rows, short, entries in nodes.where("n_shingles > 1").groupBy(F.floor(F.log("n_shingles") / np.log(_BIN)).alias("b"))
+        .agg(F.count("*"), F.sum(F.expr(f"least(n_shingles, n_shingles - (n_shingles * {rule.num} + {rule.den - 1}) div {rule.den} + 2)")), F.sum(F.size("prefix"))).collect()
     }
     sizes = sorted(bins)
-    total = sum(e for _, e in bins.values()) or 1
-    mean_list = 1 + sum(r for r, _ in bins.values()) / total
+    total = sum(e for _, _, e in bins.values()) or 1
+    mean_list = 1 + sum(r for r, _, _ in bins.values()) / total
 
     def cost(cut: int) -> float:
-        subsets = sum(r * (p := e / r + 1) * (p - 1) / 2 for s, (r, e) in bins.items() if s < cut)
-        lists = sum(e * (1 + mean_list) for s, (r, e) in bins.items() if s >= cut * rule.num / rule.den)
+        subsets = sum(r * (p := short / r) * (p - 1) / 2 for s, (r, short, _) in bins.items() if s < cut)
+        lists = sum(e * (1 + mean_list) for s, (_, _, e) in bins.items() if s >= cut * rule.num / rule.den)
         return subsets + lists
 
     return min((int(s) for s in [2, *sizes, (sizes[-1] * 2 if sizes else 2)]), key=cost)
 
 
 def _signature_task(rule: Rule, cut: int) -> Callable:
+    """Rows (sig, node, need): a node that links shares ``need`` of its signatures at least."""
     low = -(-cut * rule.num // rule.den)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, SIGNED) for b in batches for k in range(0, b.num_rows, SIGNED)):
             nodes = batch["node"].to_numpy()
             sizes = batch["n_shingles"].to_numpy()
             lists = batch["prefix"]
             bounds = lists.offsets.to_numpy()
             values = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            length = np.diff(bounds)
+            length = rule.short(sizes)
+            need = np.where(sizes >= cut, rule.lists(rule.least(sizes)), 1)
             out, owner = [], []
             listed = np.flatnonzero(sizes >= low)
             if len(listed):
-                own = np.maximum(length[listed] - 1, 0)
+                own = rule.listed(sizes[listed])
                 take = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own) + np.repeat(bounds[:-1][listed], own)
                 out.append(mixed(values[take], 21))
                 owner.append(np.repeat(listed, own))
@@ -204,7 +224,7 @@ def _signature_task(rule: Rule, cut: int) -> Callable:
                 owner.append(np.repeat(chosen, len(i)))
             if out:
                 rows = np.concatenate(owner)
-                yield pa.record_batch([longs(np.concatenate(out)), pa.array(nodes[rows])], ["sig", "node"])
+                yield pa.record_batch([longs(np.concatenate(out)), pa.array(nodes[rows]), pa.array(need[rows].astype(np.int32))], ["sig", "node", "need"])
 
     return task
 
@@ -283,6 +303,30 @@ def _marked(rows: DataFrame, column: str, kept: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(marks), (word == F.col("word")) & (F.col("bits").bitwiseAND(bit) != 0), "left_semi")
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """(sig, nodes) of the signatures that several nodes have; a node has each of its own once."""
+    return stored(rows.groupBy("sig").agg(F.count("*").alias("nodes")).where("nodes > 1"))
+
+
+def _members(signatures: DataFrame) -> DataFrame:
+    """(sig, node, center) of the lists by which pairs are found.
+
+    Nodes that share fewer signatures than they need leave.  All others share as many with each node that they link with, so
+    they still meet when each leaves out ``need - 1`` of its signatures by one order of all: those with the longest lists.
+    """
+    shared = _shared(signatures)
+    rows = _marked(signatures, "sig", shared)
+    if shared.count() > MARKS // 4:  # then the marks let too many through to count by
+        rows = rows.join(shared, "sig", "left_semi")
+    enough = stored(rows.groupBy("node").agg(F.count("*").alias("lists"), F.min("need").alias("need")).where("lists >= need").select("node"))
+    rows = _marked(rows, "node", enough).join(shared, "sig")
+    own = Window.partitionBy("node")
+    ranked = rows.withColumns({"place": F.row_number().over(own.orderBy(F.desc("nodes"), "sig")), "lists": F.count("*").over(own)})
+    rows = stored(ranked.where("lists >= need AND place >= need").select("sig", "node"))
+    lists = stored(rows.groupBy("sig").agg(F.min("node").alias("center"), F.count("*").alias("nodes")).where("nodes > 1").select("sig", "center"))
+    return stored(_marked(rows, "sig", lists).join(lists, "sig").select("sig", "node", "center"))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, key, text): rows with one key have the same id and text, and a repeated id with another text has another key."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"), "text")
@@ -335,10 +379,13 @@ def _far(rest: DataFrame, rule: Rule, slices: int = 1, turn: int = 0) -> DataFra
     Nodes are dealt into classes, and a slice joins each class with one other (or itself), so only its own pairs are compared.
     """
     place = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(slices))
-    a, b = rest.withColumn("class", place).alias("a"), rest.withColumn("class", F.pmod(-place, F.lit(slices))).alias("b")
+    a, b = rest.alias("a"), rest.alias("b")
     # a pair that meets on many lists is made once: not where both know a common list that comes before
     before = F.exists("a.low", lambda x: (x < F.col("a.sig")) & F.array_contains(F.col("b.low"), x))
-    one = (F.col("a.sig") == F.col("b.sig")) & (F.col("a.class") == F.col("b.class")) & (F.col("a.component") < F.col("b.component"))
+    one = (F.col("a.sig") == F.col("b.sig")) & (F.col("a.component") < F.col("b.component"))
+    if slices > 1:
+        a, b = rest.withColumn("class", place).alias("a"), rest.withColumn("class", F.pmod(-place, F.lit(slices))).alias("b")
+        one &= F.col("a.class") == F.col("b.class")
     return a.join(b, one & _may_link(rule) & ~before).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
 
 
@@ -351,9 +398,7 @@ def links(docs: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
     one = F.min_by(F.struct("doc_id", "key", "n_shingles", "prefix", "wide", *parity), "key").alias("one")  # combines before the shuffle
     nodes = stored(narrow(found.where("n_shingles > 1 AND doc_id IS NOT NULL").groupBy("node").agg(one), found.count()).select("node", "one.*"))
     cut = _boundary(nodes, rule)
-    signatures = nodes.select("node", "n_shingles", "prefix").mapInArrow(frugal(_signature_task(rule, cut)), "sig long, node long")
-    shared = stored(signatures.groupBy("sig").agg(F.min("node").alias("center"), F.max("node").alias("top")).where("center < top").select("sig", "center"))
-    members = stored(_marked(signatures, "sig", shared).join(shared, "sig").select("sig", "node", "center"))
+    members = _members(nodes.select("node", "n_shingles", "prefix").mapInArrow(frugal(_signature_task(rule, cut)), "sig long, node long, need int"))
     attributes = nodes.select("node", "n_shingles", *parity)
     rows = members.count()
 

@@ -133,3 +133,44 @@ def test_pairs_of_a_large_group_are_not_all_made(spark, monkeypatch):
     found = ngram_join.joined(spark.createDataFrame(rows, "doc_id long, text string"), ngram_join.Rule(5, 80, 100))
     assert sorted((tuple(r) for r in found.collect()), key=str) == plain(rows, 5, 80)
     assert sum(made) <= 15 * len(rows), made
+
+
+def test_sets_that_share_a_passage_only_leave_before_pairs(spark):
+    rng = random.Random(9)
+
+    def fresh(n):
+        return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+    passages = [fresh(30) for _ in range(3)]
+    texts = []
+    for i in range(60):
+        own = fresh(300)
+        texts.append(" ".join(own[:100] + passages[i % 3] + own[100:]))
+    for i in range(0, 20, 2):  # near copies: four words changed, 12 of 328 shingles
+        words = texts[i].split(" ")
+        for k in (5, 90, 180, 270):
+            words[k] = fresh(1)[0]
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    docs, rule = spark.createDataFrame(rows, "doc_id long, text string"), ngram_join.Rule(3, 90, 100)
+    nodes = ngram_join.sets(docs, rule)
+    signatures = nodes.select("node", "n_shingles", "prefix").mapInArrow(ngram_join._signature_task(rule, 2), "sig long, node long, need int")
+    kept = {r.doc_id for r in ngram_join._members(signatures).select("node").distinct().join(nodes, "node").collect()}
+    copied = {*range(0, 20, 2), *range(60, 70)}
+    assert copied <= kept and len(kept - copied) <= 5
+    assert sorted((tuple(r) for r in ngram_join.joined(docs, rule).collect()), key=str) == plain(rows, 3, 90)
+
+
+@pytest.mark.parametrize(("num", "cut", "marks"), [(30, 2, 1 << 24), (50, 2, 1 << 6), (80, 30, 1 << 24), (90, 2, 1 << 6)])
+def test_lists_left_out_lose_no_link(spark, monkeypatch, num, cut, marks):
+    monkeypatch.setattr(ngram_join, "_boundary", lambda *_: cut)
+    monkeypatch.setattr(ngram_join, "MARKS", marks)
+    rng = random.Random(num)
+    rows = []
+    for _ in range(14):
+        base = [f"w{rng.randrange(300)}" for _ in range(rng.choice([8, 12, 40, 120]))]
+        for _ in range(8):
+            share = rng.choice([0.01, 0.03, 0.1, 0.3])
+            rows.append((len(rows), " ".join(w if rng.random() > share else f"w{rng.randrange(300)}" for w in base[rng.randrange(3) :])))
+    got = ngram_join.joined(spark.createDataFrame(rows, "doc_id long, text string"), ngram_join.Rule(2, num, 100)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == plain(rows, 2, num)
