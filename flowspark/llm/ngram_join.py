@@ -17,9 +17,9 @@ Two documents link when ``den * |A and B| >= num * |A or B|`` for their sets of
   the list's smallest node only, which then leaves the list, as all its pairs are settled; then, where
   other members are still in different components, those are joined on the list, pruned by size and by
   an exact lower bound on the difference of two sets (parity bitmaps).  Pairs already connected are skipped,
-  as they cannot change a component.  Where a random slice of such pairs shows that all are more than the
-  nodes, slices of about half as many pairs as nodes are made and verified in turns, each after those that
-  the turns before connect are skipped; then all that are left are made.
+  as they cannot change a component.  Where a random slice of such pairs shows that all are more than all
+  nodes of the table, slices of about half as many pairs as nodes in them are made and verified in turns, each
+  after those that the turns before connect are skipped; then all that are left are made.
 * Intermediate tables are counted and take the partitions that their rows need.
 * Every candidate is verified on the whole texts.
 
@@ -50,7 +50,7 @@ WIDE, WIDE_FROM = 128, 800  # words of the wide bitmap, and the set size from wh
 FIRST_LISTS = 8
 MANY_PAIRS = 8  # pairs per node from which on they are verified in turns
 FEW_PAIRS, TURNS = 4, 8  # pairs of a node in a turn, and turns before all that is left
-COMPARED = 32  # pairs per row of the torn lists that are compared to tell how many pairs all have
+COMPARED = 64  # pairs per row of the torn lists that are compared to tell how many pairs all have
 SIGNED = 1024  # nodes whose signatures are made at once
 MARKS = 1 << 24  # bits of the table that tells which texts have a candidate
 _BIN = 1.1
@@ -291,8 +291,8 @@ def _close(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").mapInArrow(_close_task(rule), "a long, b long")
 
 
-def _marked(rows: DataFrame, column: str, kept: DataFrame) -> DataFrame:
-    """``rows`` without most of those whose ``column`` is not in ``kept``, before anything is shuffled.
+def _marked(rows: DataFrame, column: str, kept: DataFrame, how: str = "left_semi") -> DataFrame:
+    """``rows`` without most of those whose ``column`` is not in ``kept``, before anything is shuffled; with left_anti, those rows.
 
     One bit per hashed value, 64 to a row: the broadcast has at most MARKS / 64 rows whatever the input.
     Many values fill it and it then lets more rows through, never fewer.
@@ -300,7 +300,7 @@ def _marked(rows: DataFrame, column: str, kept: DataFrame) -> DataFrame:
     place = f"pmod(xxhash64({column}), {MARKS})"
     word, bit = F.expr(f"{place} div 64"), F.expr(f"shiftleft(1L, cast({place} % 64 AS int))")
     marks = kept.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
-    return rows.join(F.broadcast(marks), (word == F.col("word")) & (F.col("bits").bitwiseAND(bit) != 0), "left_semi")
+    return rows.join(F.broadcast(marks), (word == F.col("word")) & (F.col("bits").bitwiseAND(bit) != 0), how)
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -327,6 +327,22 @@ def _members(signatures: DataFrame) -> DataFrame:
     return stored(_marked(rows, "sig", lists).join(lists, "sig").select("sig", "node", "center"))
 
 
+def _nodes(found: DataFrame) -> DataFrame:
+    """One row per set that can link, with the ``row`` of ``found`` that stands for it; prefixes stay in ``found`` only."""
+    columns = ["doc_id", "key", "n_shingles", "row", "wide", *(f"p{i}" for i in range(PARITY))]
+    one = F.min_by(F.struct(*columns), "key").alias("one")  # combines before the shuffle
+    rows = found.where("n_shingles > 1 AND doc_id IS NOT NULL").groupBy("node").agg(one, F.count("*").alias("copies"))
+    return stored(narrow(rows, found.count()).select("node", "one.*", "copies"))
+
+
+def _prefixes(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, n_shingles, prefix) of every node once; only rows of sets that have copies are shuffled to find the one that stands for them."""
+    rows = found.where("n_shingles > 1 AND doc_id IS NOT NULL").select("node", "row", "n_shingles", "prefix")
+    copied = stored(nodes.where("copies > 1").select("node", "row"))
+    first = _marked(rows, "node", copied).join(nodes.select("node", "row"), ["node", "row"], "left_semi")
+    return _marked(rows, "node", copied, "left_anti").union(first).select("node", "n_shingles", "prefix")
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, key, text): rows with one key have the same id and text, and a repeated id with another text has another key."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"), "text")
@@ -343,10 +359,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, rule: Rule) -
 
 
 def sets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """One row per document, written once: its set's size, node, prefix and parity bits."""
+    """One row per document, written once: its set's size, node, prefix and parity bits, and a number of its own."""
     parity = ", ".join(f"p{i} long" for i in range(PARITY))
     levels = _frequent(docs, rule.n)
-    return stored(_keyed(docs).mapInArrow(frugal(_set_task(rule, levels)), f"doc_id long, key long, n_shingles long, node long, prefix array<long>, wide binary, {parity}"))
+    found = _keyed(docs).mapInArrow(frugal(_set_task(rule, levels)), f"doc_id long, key long, n_shingles long, node long, prefix array<long>, wide binary, {parity}")
+    return stored(found.withColumn("row", F.monotonically_increasing_id()))
 
 
 def _some(pairs: DataFrame, turn: int) -> tuple[DataFrame, bool]:
@@ -395,10 +412,10 @@ def links(docs: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
     Those of large lists come as stars, (node, smallest node of its component).
     """
     parity = [f"p{i}" for i in range(PARITY)]
-    one = F.min_by(F.struct("doc_id", "key", "n_shingles", "prefix", "wide", *parity), "key").alias("one")  # combines before the shuffle
-    nodes = stored(narrow(found.where("n_shingles > 1 AND doc_id IS NOT NULL").groupBy("node").agg(one), found.count()).select("node", "one.*"))
-    cut = _boundary(nodes, rule)
-    members = _members(nodes.select("node", "n_shingles", "prefix").mapInArrow(frugal(_signature_task(rule, cut)), "sig long, node long, need int"))
+    nodes = _nodes(found)
+    prefixes = _prefixes(found, nodes)
+    cut = _boundary(prefixes, rule)
+    members = _members(prefixes.mapInArrow(frugal(_signature_task(rule, cut)), "sig long, node long, need int"))
     attributes = nodes.select("node", "n_shingles", *parity)
     rows = members.count()
 
@@ -410,7 +427,7 @@ def links(docs: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
     pairs = stored(narrow(_close(pairs, nodes, rule), rows))
     grouped = stored(components(_verified(pairs, docs, nodes, rule)))
 
-    members, tried = members.where("node <> center").select("sig", "node"), pairs
+    members, tried, linkable = members.where("node <> center").select("sig", "node"), pairs, nodes.count()
     for turn in range(TURNS + 1):
         apart = _torn(members, grouped, rows)
         rest = stored(narrow(_placed(apart, attributes), rows))
@@ -419,8 +436,9 @@ def links(docs: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
         if slices == 1 or turn == TURNS:
             break
         ends, expected = rest.select("node").distinct().count(), _far(rest, rule, slices, turn).count() * slices
-        if expected <= ends:
+        if expected <= linkable:  # no more than the input, though their own nodes may be few
             break
+        members = apart.select("sig", "node")  # components only grow, so no other list is torn later
         few = _far(rest, rule, min(slices, math.ceil(2 * expected / ends)), turn).join(_both(tried), ["a", "b"], "left_anti")
         few = stored(narrow(_close(few, nodes, rule), rows))
         tried = tried.union(few)

@@ -174,3 +174,56 @@ def test_lists_left_out_lose_no_link(spark, monkeypatch, num, cut, marks):
             rows.append((len(rows), " ".join(w if rng.random() > share else f"w{rng.randrange(300)}" for w in base[rng.randrange(3) :])))
     got = ngram_join.joined(spark.createDataFrame(rows, "doc_id long, text string"), ngram_join.Rule(2, num, 100)).collect()
     assert sorted((tuple(r) for r in got), key=str) == plain(rows, 2, num)
+
+
+def test_few_far_pairs_are_made_without_turns(spark, monkeypatch):
+    """Pairs of one group that are more than its own sets, but fewer than all sets, are made at once."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(130)]
+    rows = []
+    for i in range(30):
+        words = list(base)
+        for _ in range(3):
+            words[rng.randrange(130)] = f"x{i}_{rng.randrange(9)}"
+        rows.append((i, " ".join(words)))
+    rows += [(30 + i, " ".join(f"y{i}_{k}" for k in range(8))) for i in range(800)]
+    torn = []
+    whole = ngram_join._torn
+
+    def counted(*args):
+        torn.append(1)
+        return whole(*args)
+
+    monkeypatch.setattr(ngram_join, "_torn", counted)
+    monkeypatch.setattr(ngram_join, "COMPARED", 0.5)
+    monkeypatch.setattr(ngram_join, "_may_link", lambda rule: ngram_join.F.lit(True))
+    found = ngram_join.joined(spark.createDataFrame(rows, "doc_id long, text string"), ngram_join.Rule(5, 80, 100))
+    assert sorted((tuple(r) for r in found.collect()), key=str) == plain(rows, 5, 80)
+    assert len(torn) == 1
+
+
+@pytest.mark.parametrize("marks", [1 << 24, 1 << 6])
+def test_prefixes_are_written_once(spark, monkeypatch, marks):
+    """One table holds prefixes; sets that have copies are still one node each."""
+    monkeypatch.setattr(ngram_join, "MARKS", marks)
+    rng = random.Random(marks)
+    rows = []
+    for _ in range(60):
+        words = [f"w{rng.randrange(500)}" for _ in range(rng.choice([2, 6, 40]))]
+        for _ in range(rng.choice([1, 1, 3])):
+            rows.append((rng.choice([None, len(rows)]), " ".join(words)))
+    rows += rows[:20]
+    written = []
+    whole = ngram_join.stored
+
+    def counted(df):
+        written.append("prefix" in df.columns)
+        return whole(df)
+
+    monkeypatch.setattr(ngram_join, "stored", counted)
+    docs, rule = spark.createDataFrame(rows, "doc_id long, text string"), ngram_join.Rule(2, 80, 100)
+    assert sorted((tuple(r) for r in ngram_join.joined(docs, rule).collect()), key=str) == plain(rows, 2, 80)
+    assert sum(written) == 1
+    found = ngram_join.sets(docs, rule)
+    nodes = [r.node for r in ngram_join._prefixes(found, ngram_join._nodes(found)).collect()]
+    assert sorted(nodes) == sorted({r.node for r in found.where("n_shingles > 1 AND doc_id IS NOT NULL").collect()})
