@@ -119,3 +119,16 @@ def test_odd_values_score_as_zero(spark, table):
     odd = spark.createDataFrame([("x", None, float("nan"), 1), ("0", 0.0, float("-inf"), 2)], "a string, b double, `c d` double, id int")
     found = M.score(odd, model).collect()
     assert found[0]["rf_benign"] == found[1]["rf_benign"] and found[0]["a"] == "x" and np.isnan(found[0]["c d"])
+
+
+def test_sources_are_scored_in_one_pass(spark, table):
+    one, two = M.train_forest(table, ["a", "b"], trees=3, depth=4), M.train_forest(table, ["c d", "a"], trees=4, depth=3)
+    named = table.withColumns({"rf_origin": F.when(F.col("b") == 0, "x").when(F.col("b") == 1, "y").when(F.col("b") == 2, "z"), "id": F.monotonically_increasing_id()})
+    found = M.score_by_source(named, {"x": one, "y": two}, "rf_origin")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1  # one per source before, over as many scans
+    assert found.columns == [*named.columns, "rf_label", "rf_confidence", "rf_benign"]
+    got = {r["id"]: (r["rf_label"], r["rf_confidence"], r["rf_benign"]) for r in found.collect()}
+    alone = {r["id"]: (r["rf_label"], r["rf_confidence"], r["rf_benign"]) for s, m in (("x", one), ("y", two)) for r in M.score(named.filter(F.col("rf_origin") == s), m).collect()}
+    assert len(got) == 900 and {k: got[k] for k in alone} == alone
+    assert {v for k, v in got.items() if k not in alone} == {("Unknown", 0.0, None)}
+    assert {r["rf_label"] for r in M.score_by_source(named, {}, "rf_origin").collect()} == {"Unknown"}
