@@ -132,3 +132,11 @@ def test_sources_are_scored_in_one_pass(spark, table):
     assert len(got) == 900 and {k: got[k] for k in alone} == alone
     assert {v for k, v in got.items() if k not in alone} == {("Unknown", 0.0, None)}
     assert {r["rf_label"] for r in M.score_by_source(named, {}, "rf_origin").collect()} == {"Unknown"}
+
+
+def test_split_of_a_sample_does_not_read_its_source_again(spark, tmp_path):
+    spark.range(500).selectExpr("id", "if(id % 3 = 0, 'BENIGN', 'DoS') label").write.parquet(str(tmp_path / "flows"))
+    source = spark.read.parquet(str(tmp_path / "flows"))
+    split = M.holdout_split(source, "id", sample_size=200)
+    assert not set(split.inputFiles()) & set(source.inputFiles())  # before, each pass of the split sampled anew
+    assert split.count() == 200 and split.filter("is_test").count() == 40
